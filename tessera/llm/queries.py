@@ -5,12 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, quality, toxicity
+from tessera.llm import chat, lm_scoring, mixing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Target shares of the output: src0 three parts, src1 two, every other source one.
 MIX_WEIGHTS, MIX_SEED = {"src0": 3.0, "src1": 2.0}, 42
 
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +34,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_windows")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(docs, read(spark, sf_dir, "labels").filter(remainder(4) != 2))
@@ -46,6 +57,8 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_poisson_mix": op2_poisson_mix,
     "op3_toxicity": op3_toxicity,
+    "op6_url_filter": op6_url_filter,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
     "op10_perspectives": op10_perspectives,
 }
