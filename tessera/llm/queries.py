@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, lm_scoring, mixing, quality, toxicity, url_filter
+from tessera.llm import chat, lm_scoring, mixing, pii, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Target shares of the output: src0 three parts, src1 two, every other source one.
@@ -50,6 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= model.accept_at).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    counts = {f"n_{kind}": F.size(F.array_remove(F.transform("entities", lambda e: F.when(e["kind"] == kind, kind).otherwise("")), "")).cast("long") for kind in pii.PATTERNS}
+    return found.withColumns(counts).select("doc_id", *counts, F.sha2(pii.listed(F.col("entities")), 256).alias("base_sha256"), pii.listed(F.concat("entities", "terms")).alias("spans"))
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
 
@@ -60,5 +66,6 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_perspectives": op10_perspectives,
 }
