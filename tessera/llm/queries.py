@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, lm_scoring, mixing, pii, quality, toxicity, url_filter
+from tessera.llm import chat, jaccard_join, lm_scoring, mixing, pii, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Target shares of the output: src0 three parts, src1 two, every other source one.
@@ -34,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_windows")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -63,6 +67,7 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_poisson_mix": op2_poisson_mix,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
