@@ -4,8 +4,9 @@
    order, rare before frequent. Two sets that link share one of the first shingles (their prefixes) in that order, whatever the order is.
 2. Nodes that share a prefix shingle are a group. Every node is compared with two members of each of its groups, which costs little
    and joins nearly all that belongs together; components of those links follow.
-3. In groups that still hold several components, nodes are laid out in tiles by size band and block, and all pairs of different components
-   are compared. So every link is found or lies within one component, and no group, however large, emits its pairs.
+3. Groups with the same least member are taken as one, so that nodes that share many shingles meet once. Where such a group still holds
+   several components, its nodes are laid out in tiles by size band and block, and all pairs of different components are compared. So every
+   link is found or lies within one component, and no group, however large, emits its pairs.
 
 Each comparison first bounds the overlap from above: the bit counts of hashed bitmap signatures, XORed, bound the symmetric difference from
 below. Pairs that may link are decided by the exact intersection of their sorted arrays.
@@ -47,8 +48,8 @@ def prefix_length(n: int) -> int:
 
 
 def signature(h: np.ndarray) -> bytes:
-    """The parities of the shingles in each of b hash classes, b the least power of two that is n and 64 at least: b / 8 bytes."""
-    b = 1 << max(6, int(len(h) - 1).bit_length())
+    """The parities of the shingles in each of b hash classes, b the least power of two that is 2 n and 64 at least: b / 8 bytes."""
+    b = 1 << max(6, int(2 * len(h) - 1).bit_length())
     return np.packbits((np.bincount((h & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8)).tobytes()
 
 
@@ -310,7 +311,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     links = saved(verified(tried, rows, k), "links")
 
     labels = saved(connected_components(links), "labels")
-    left = groups.select("token", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = groups.select(F.col("low").alias("token"), "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     several = left.join(mixed, "token", "left_semi").join(nodes, "node")
     more = saved(tiled_pairs(several).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
