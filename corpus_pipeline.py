@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, quality
+from tessera.llm import decontaminate, jaccard_join, mixing, pii, quality
 from tessera.llm.common import saved
 from tessera.llm.queries import MIX_SEED, MIX_WEIGHTS, read, remainder
 
@@ -17,6 +18,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, model)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: the one that names the group. Of rows that share its id and text, one stays."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, and generalises or removes the terms that reveal it. n_chars follows the text."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to the target weights of their sources and shuffles them globally."""
     return mixing.poisson_mix(docs, MIX_WEIGHTS, seed=MIX_SEED)
@@ -24,6 +40,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
     ("mixing", mixing_stage),
 ]
 

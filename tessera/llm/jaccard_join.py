@@ -30,6 +30,7 @@ from tessera.llm.shingles import shingle_set
 SLOT_BITS, CHUNKS, FILTER_BITS = 22, 64, 26
 #: Members that one hub is compared with in a task, and rows of a tile's block.
 HUB_CHUNK, TILE_ROWS = 64, 512
+GONE = "near_duplicate_of_"
 
 
 def linked(shared: int | np.ndarray, n: int | np.ndarray, m: int | np.ndarray):
@@ -323,3 +324,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     joined = named.join(least, F.col("label") == F.col("of"), "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of jaccard_classes(), the one that names it, with the columns of `docs`.
+
+    Documents with an empty set are copies of nothing, and stay; so do rows with a null id. Of rows that share id and text one stays;
+    an id with several texts stays with all of them if it names any of their components.
+    """
+    found = saved(jaccard_classes(docs, k, id_col, text_col), "classes").filter(col(id_col).isNotNull())
+    ids = found.groupBy(col(id_col).alias(GONE)).agg(F.bool_and(F.col("component_id") != col(id_col)).alias("copy"), F.count("*").alias("rows"))
+    kept = docs.join(ids.filter("copy").select(GONE), col(id_col) == F.col(GONE), "left_anti")
+    if ids.filter("not copy and rows > 1").isEmpty():
+        return kept
+    return kept.filter(col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionAll(kept.filter(col(id_col).isNull()))

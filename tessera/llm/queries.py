@@ -1,11 +1,13 @@
 """One query for each operator: the operator with production parameters on its whole table."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jaccard_join, lm_scoring, mixing, pii, quality, toxicity, url_filter
+from tessera.llm import audio, chat, decontaminate, jaccard_join, lm_scoring, mixing, pii, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Target shares of the output: src0 three parts, src1 two, every other source one.
@@ -23,6 +25,31 @@ def remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def melodies(vectors: DataFrame, rate: int) -> DataFrame:
+    """Recordings made of the embeddings: each pair of numbers is a note, the first its pitch, the second its loudness; (vec_id, pcm)."""
+
+    def played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = np.arange(rate // 8) / rate
+        for b in batches:
+            out = []
+            for v in b["embedding"]:
+                if v is None:
+                    out.append(None)
+                    continue
+                v = np.nan_to_num(np.array(v, dtype=np.float64)[: len(v) // 2 * 2].reshape(-1, 2))
+                hertz = 440 * 2 ** ((np.floor(np.clip(v[:, :1] * 40, -18, 17))) / 12)
+                out.append(((np.sin(2 * np.pi * hertz * t) * (8000 + 8000 * np.tanh(v[:, 1:]))).ravel()).astype("<i2").tobytes())
+            yield pd.DataFrame({"vec_id": b["vec_id"], "pcm": out})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(played, "vec_id long, pcm binary")
+
+
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = melodies(read(spark, sf_dir, "embeddings"), rate=2400)
+    found = audio.align(audio.fingerprints(recordings, 2400, "vec_id"), F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
@@ -38,6 +65,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -65,9 +96,11 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chroma_fingerprints": op1_chroma_fingerprints,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality": op8_quality,
