@@ -125,8 +125,9 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
                     s = np.unique(_slots(h))
                     counts[s] += counts[s] < 255
                 out.append((len(h), node_of(h), signature(h)) if len(h) else (0, None, None))
-            pdf = pd.DataFrame(out, columns=["n", "node", "bits"]).astype({"node": "Int64"})
-            yield pdf.assign(id=b["id"], part=None, chunk=None, counts=None)[schema.names]
+            n, node, bits = zip(*out, strict=True) if out else ((), (), ())
+            # Node names as nullable integers from the start: as floats they would lose bits.
+            yield pd.DataFrame({"id": b["id"], "n": n, "node": pd.array(node, dtype="Int64"), "bits": bits, "part": None, "chunk": None, "counts": None}, columns=schema.names)
         chunks = counts.reshape(CHUNKS, -1)
         some = [i for i in range(CHUNKS) if chunks[i].any()]
         part = TaskContext.get().partitionId()
@@ -183,7 +184,8 @@ def streamed(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.Dat
     for b in batches:
         if not len(b):
             continue
-        starts = np.flatnonzero((b[key] != b[key].shift()).any(axis=1).to_numpy())
+        changes = np.any([b[c].to_numpy()[1:] != b[c].to_numpy()[:-1] for c in key], axis=0)
+        starts = np.concatenate([[0], np.flatnonzero(changes) + 1])
         if held and (held[-1][key].iloc[-1] == b[key].iloc[0]).all():
             if len(starts) == 1:
                 held.append(b)
