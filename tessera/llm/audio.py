@@ -1,6 +1,7 @@
 """Chroma audio fingerprints: pitch-class frames, integral-image filters, packed integers, and alignment by offsets and bit errors."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -65,14 +66,17 @@ def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
     return out.view(np.int32)
 
 
-def fingerprints(recordings: DataFrame, rate: int, id_col: str = "id", pcm_col: str = "pcm") -> DataFrame:
-    """For each row: its id and items, the fingerprint of its whole recording; null and short recordings have none."""
+def fingerprints(recordings: DataFrame, rate: int, id_col: str = "id", pcm_col: str = "pcm", decode: Callable[[Any], bytes | None] | None = None) -> DataFrame:
+    """For each row: its id and items, the fingerprint of its whole recording; null and short recordings have none.
+
+    decode: makes 16-bit samples of one stored value, so that decoded sound never leaves the task, nor is held for more than one row.
+    """
     rows = recordings.select(col(id_col).alias("id"), col(pcm_col).alias("pcm"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("items", T.ArrayType(T.IntegerType()))])
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "items": [fingerprint(p, rate) for p in b["pcm"]]})
+            yield pd.DataFrame({"id": b["id"], "items": [fingerprint(decode(p) if decode else p, rate) for p in b["pcm"]]})
 
     return rows.mapInPandas(made, schema)
 

@@ -1,9 +1,8 @@
 """One query for each operator: the operator with production parameters on its whole table."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,29 +24,22 @@ def remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
-def melodies(vectors: DataFrame, rate: int) -> DataFrame:
-    """Recordings made of the embeddings: each pair of numbers is a note, the first its pitch, the second its loudness; (vec_id, pcm)."""
+#: Samples a second of the recordings that op1 makes of embeddings.
+RATE = 2400
 
-    def played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = np.arange(rate // 8) / rate
-        for b in batches:
-            out = []
-            for v in b["embedding"]:
-                if v is None:
-                    out.append(None)
-                    continue
-                v = np.nan_to_num(np.array(v, dtype=np.float64)[: len(v) // 2 * 2].reshape(-1, 2))
-                hertz = 440 * 2 ** ((np.floor(np.clip(v[:, :1] * 40, -18, 17))) / 12)
-                out.append(((np.sin(2 * np.pi * hertz * t) * (8000 + 8000 * np.tanh(v[:, 1:]))).ravel()).astype("<i2").tobytes())
-            yield pd.DataFrame({"vec_id": b["vec_id"], "pcm": out})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(played, "vec_id long, pcm binary")
+def melody(vector: np.ndarray | None) -> bytes | None:
+    """A recording made of an embedding: each pair of numbers is a note, the first its pitch, the second its loudness."""
+    if vector is None:
+        return None
+    v, t = np.nan_to_num(np.array(vector, dtype=np.float64)[: len(vector) // 2 * 2].reshape(-1, 2)), np.arange(RATE // 8) / RATE
+    hertz = 440 * 2 ** (np.floor(np.clip(v[:, :1] * 40, -18, 17)) / 12)
+    return (np.sin(2 * np.pi * hertz * t) * (8000 + 8000 * np.tanh(v[:, 1:]))).ravel().astype("<i2").tobytes()
 
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recordings = melodies(read(spark, sf_dir, "embeddings"), rate=2400)
-    found = audio.align(audio.fingerprints(recordings, 2400, "vec_id"), F.col("id") % 20 == 0)
-    return found.withColumnRenamed("id", "vec_id")
+    prints = audio.fingerprints(read(spark, sf_dir, "embeddings"), RATE, "vec_id", "embedding", melody)
+    return audio.align(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
