@@ -224,9 +224,13 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def fits(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([may_link(*row) for row in zip(x, y, n, m, strict=True)], dtype=bool)
 
-    a, b = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    known = pairs.join(a, "a").join(b, "b").filter(sizes_fit(F.col("n_a"), F.col("n_b")))
-    return known.filter(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
+    # Sizes first: signatures, the bulk of a pair, follow for the pairs whose sizes fit.
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")), c)
+    pairs = pairs.filter(sizes_fit(F.col("n_a"), F.col("n_b")))
+    for c in "ba":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}")), c)
+    return pairs.filter(fits("bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -255,8 +259,8 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return grouped(joined, ["a", "chunk"], ["member"], decided, "a long, b long")
 
 
-def tiled_pairs(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of one group but different labels that may link; groups: token, node, label, n, bits.
+def tiled_pairs(groups: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of one group but different labels that may link; groups: token, node, label, n; signatures: node, bits.
 
     A band holds the sizes that one factor of 1.25 spans, so that partners are in one band or in neighbouring ones. Each node is at home
     in its own band and a guest in the next. A band of over TILE_ROWS rows is cut into blocks; a tile is two blocks of it.
@@ -267,7 +271,8 @@ def tiled_pairs(groups: DataFrame) -> DataFrame:
     laid = laid.join(sizes.filter("homes > 0 and one <> other").drop("homes", "one", "other"), ["token", "band"])
     laid = laid.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     laid = laid.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    laid = laid.select("token", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "home", "node", "label", "n", "bits").distinct()
+    laid = laid.select("token", "band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "home", "node", "label", "n").distinct()
+    laid = laid.join(signatures, "node")
 
     def compared(g: pd.DataFrame) -> Iterable[tuple]:
         i, j = g["i"][0], g["j"][0]
@@ -316,8 +321,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     labels = saved(connected_components(links), "labels")
     left = groups.select(F.col("low").alias("token"), "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    several = left.join(mixed, "token", "left_semi").join(nodes, "node")
-    more = saved(tiled_pairs(several).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
+    several = left.join(mixed, "token", "left_semi").join(nodes.select("node", "n"), "node")
+    more = saved(tiled_pairs(several, nodes.select("node", "bits")).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         labels = saved(connected_components(links.union(verified(more, rows, k))), "labels")
 
