@@ -1,6 +1,7 @@
 """Chroma audio fingerprints: pitch-class frames, integral-image filters, packed integers, and alignment by offsets and bit errors."""
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -12,22 +13,35 @@ from pyspark.sql import types as T
 from tessera.llm.common import col, saved
 
 FRAME, HOP, WIDTH, FILTERS = 512, 128, 16, 16
+#: Frames whose spectra are held at once.
+BLOCK = 256
 #: Logarithms of ratios that separate a filter's four levels.
 LEVELS = np.array([-0.2, 0.0, 0.2])
 
 
+@lru_cache
+def pitch_classes(rate: int) -> tuple[int, np.ndarray]:
+    """The first heard bin of a padded frame's spectrum, and the pitch class of each heard bin (60 to 1200 Hz) as rows of ones; (bins, 12)."""
+    hertz = np.fft.rfftfreq(4 * FRAME, 1 / rate)
+    heard = np.flatnonzero((hertz >= 60) & (hertz <= min(1200, rate / 2)))
+    return int(heard[0]) if len(heard) else 0, np.eye(12, dtype=np.float32)[np.round(12 * np.log2(hertz[heard] / 440)).astype(int) % 12]
+
+
 def chroma(pcm: bytes | None, rate: int) -> np.ndarray:
-    """The energy of the twelve pitch classes in each frame of 16-bit little-endian samples, scaled to a sum of one; (frames, 12)."""
-    x = np.frombuffer(pcm or b"", dtype="<i2", count=len(pcm or b"") // 2).astype(np.float32)
+    """The energy of the twelve pitch classes in each frame of 16-bit little-endian samples, scaled to a sum of one; (frames, 12).
+
+    Spectra are made of BLOCK frames at a time, so that memory beyond the samples and the result is bounded.
+    """
+    x = np.frombuffer(pcm or b"", dtype="<i2", count=len(pcm or b"") // 2)
     n = (len(x) - FRAME) // HOP + 1
     if n <= 0:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n] * np.hanning(FRAME).astype(np.float32)
-    energy = np.abs(np.fft.rfft(frames, 4 * FRAME)) ** 2
-    hertz = np.fft.rfftfreq(4 * FRAME, 1 / rate)
-    heard = (hertz >= 60) & (hertz <= min(1200, rate / 2))
-    pitch = np.round(12 * np.log2(hertz[heard] / 440)).astype(int) % 12
-    out = energy[:, heard] @ np.eye(12)[pitch]
+    first, classes = pitch_classes(rate)
+    window, out = np.hanning(FRAME).astype(np.float32), np.zeros((n, 12))
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    for at in range(0, n, BLOCK):
+        spectrum = np.fft.rfft(frames[at : at + BLOCK] * window, 4 * FRAME)[:, first : first + len(classes)]
+        out[at : at + BLOCK] = (spectrum.real**2 + spectrum.imag**2) @ classes
     return out / (out.sum(1, keepdims=True) + 1e-9)
 
 
@@ -47,6 +61,22 @@ def filters() -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+@lru_cache
+def corner_weights() -> tuple[list[int], np.ndarray]:
+    """The frames at which areas begin or end, and the signs with which the integral's values there add up to areas.
+
+    (frames * 13, 2 * FILTERS): the first area of each filter, then the second ones.
+    """
+    sides = [pair[side] for side in (0, 1) for pair in filters()]
+    at = sorted({int(f) for areas in sides for a, _, d, _ in areas for f in (a, d)})
+    out = np.zeros((len(at), 13, len(sides)))
+    for k, areas in enumerate(sides):
+        for a, b, d, e in areas:
+            for frame, pitch, sign in ((d, e, 1), (a, e, -1), (d, b, -1), (a, b, 1)):
+                out[at.index(frame), pitch, k] += sign
+    return at, out.reshape(-1, len(sides))
+
+
 def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
     """A 32-bit integer for each run of WIDTH frames: two bits (a Gray code of four levels) from each filter."""
     c = chroma(pcm, rate)
@@ -55,15 +85,11 @@ def fingerprint(pcm: bytes | None, rate: int) -> np.ndarray:
         return np.zeros(0, dtype=np.int32)
     integral = np.zeros((len(c) + 1, 13))
     integral[1:, 1:] = c.cumsum(0).cumsum(1)
-    at, out = np.arange(n), np.zeros(n, dtype=np.uint32)
-
-    def area(corners: np.ndarray) -> np.ndarray:
-        return sum(integral[at + d, e] - integral[at + a, e] - integral[at + d, b] + integral[at + a, b] for a, b, d, e in corners)
-
-    for x, y in filters():
-        level = np.searchsorted(LEVELS, np.log((area(x) + 1e-2) / (area(y) + 1e-2)), side="right").astype(np.uint32)
-        out = out << np.uint32(2) | (level ^ level >> np.uint32(1))
-    return out.view(np.int32)
+    at, weights = corner_weights()
+    areas = np.hstack([integral[f : f + n] for f in at]) @ weights + 1e-2
+    level = np.searchsorted(LEVELS, np.log(areas[:, :FILTERS] / areas[:, FILTERS:]), side="right").astype(np.uint32)
+    places = np.arange(2 * FILTERS - 2, -1, -2, dtype=np.uint32)
+    return np.bitwise_or.reduce((level ^ level >> np.uint32(1)) << places, axis=1).view(np.int32)
 
 
 def fingerprints(recordings: DataFrame, rate: int, id_col: str = "id", pcm_col: str = "pcm", decode: Callable[[Any], bytes | None] | None = None) -> DataFrame:
