@@ -112,8 +112,8 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = 4, max_bit_error
 
     Recordings with equal fingerprints are a class, named by its least id. Returns one row for each recording (id, class_id, n_items,
     the other columns null), and one for each class that has a query and each other class that aligns with it: class_id, match_class_id,
-    start (the item of the match that meets the class's first, negative if it begins later), votes (equal items at that start, of those
-    that differ from the item before) and bit_error (the share of differing bits where they overlap); id is null there.
+    start (the item of the match that meets the class's first, negative if it begins later), votes (equal changes from one item
+    to another at that start) and bit_error (the share of differing bits where they overlap); id is null there.
     The start has the most votes, and of equal ones is the least.
 
     Edge cases: recordings without items form no class (class_id null) and match nothing; repeated rows are of one class; null ids are
@@ -122,10 +122,11 @@ def align(prints: DataFrame, is_query: Column, min_votes: int = 4, max_bit_error
     named = saved(prints.select("id", "items", F.md5(F.array_join("items", ",")).alias("key"), F.coalesce(is_query, F.lit(False)).alias("asks")), "prints")
     some = named.filter(F.size("items") > 0)
     classes = saved(some.groupBy("key").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.max("asks").alias("asks")), "classes")
-    # Runs of one item count once: a sustained sound doesn't vote for every offset.
-    places = classes.select("key", "asks", F.posexplode("items").alias("at", "item"), "items").filter((F.col("at") == 0) | (F.element_at("items", F.greatest("at", F.lit(1))) != F.col("item"))).drop("items")
-    asked = places.filter("asks").select(F.col("key").alias("q"), F.col("at").alias("q_at"), "item")
-    votes = asked.join(places.select(F.col("key").alias("r"), F.col("at").alias("r_at"), "item"), "item").filter("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("start")).agg(F.count("*").alias("votes"))
+    # A vote is a change from one item to another: single items are too common to look up, and a sustained sound would vote for every offset.
+    change = F.shiftleft(F.element_at("items", F.greatest("at", F.lit(1))).cast("long"), 32).bitwiseOR(F.col("item").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    places = classes.select("key", "asks", F.posexplode("items").alias("at", "item"), "items").filter((F.col("at") > 0) & (F.element_at("items", F.greatest("at", F.lit(1))) != F.col("item"))).select("key", "asks", "at", change.alias("change"))
+    asked = places.filter("asks").select(F.col("key").alias("q"), F.col("at").alias("q_at"), "change")
+    votes = asked.join(places.select(F.col("key").alias("r"), F.col("at").alias("r_at"), "change"), "change").filter("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("start")).agg(F.count("*").alias("votes"))
     best = votes.filter(F.col("votes") >= min_votes).groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("start")).alias("back"))).alias("b")).select("q", "r", "b.votes", (-F.col("b.back")).alias("start"))
     q, r = (classes.select(F.col("key").alias(c), F.col("class_id").alias(f"{c}_class"), F.col("items").alias(f"{c}_items")) for c in "qr")
     both = best.join(q, "q").join(r, "r")
