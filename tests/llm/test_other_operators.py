@@ -28,6 +28,14 @@ def test_recordings_align(spark):
     assert audio.align(prints.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_alignment_takes_items_of_any_value(spark):
+    draw = np.random.default_rng(7)
+    items = [-(2**31), -(2**31), 2**31 - 1, -1, *map(int, draw.integers(-(2**31), 2**31, 30))]
+    prints = spark.createDataFrame([(20, items), (21, items[5:]), (22, [5] * 40)], "id long, items array<int>")
+    (found,) = audio.align(prints, F.col("id") % 20 == 0).filter("match_class_id is not null").collect()
+    assert (found.class_id, found.match_class_id, found.start, found.votes, found.bit_error) == (20, 21, -5, 28, 0.0)
+
+
 def test_areas_match_plain_sums():
     c = np.random.default_rng(1).random((30, 12))
     integral = np.zeros((31, 13))
