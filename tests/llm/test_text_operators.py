@@ -234,6 +234,33 @@ def test_cross_entropy_difference_brute_force(spark):
         assert got[d].score == pytest.approx(want, abs=1e-5) and got[d].n_tokens == len(i) - 1
 
 
+def test_cross_entropy_difference_of_every_word(spark):
+    draw, common = random.Random(4), [f"c{i}" for i in range(20)]
+    texts = {i: " ".join(draw.choice(common) if draw.random() < 0.3 else f"w{draw.randrange(4000)}" for _ in range(60)) for i in range(100)} | {100: None, 101: " "}
+    target = set(range(0, 100, 3))
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()])
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "x long")).collect()}
+    size = len({w for t in texts.values() for w in (t or "").split()}) + 2
+    assert size > 1500
+
+    def model(ids):
+        pairs, words, contexts = defaultdict(int), defaultdict(int), defaultdict(int)
+        for i in ids:
+            w = [None, *(texts[i] or "").split()]
+            for x, y in zip(w, w[1:], strict=False):
+                pairs[x, y] += 1
+                words[y] += 1
+                contexts[x] += 1
+        total = sum(words.values())
+        return lambda x, y: -np.log((pairs[x, y] + 64 * (words[y] + 0.5) / (total + 0.5 * size)) / (contexts[x] + 64))
+
+    models = model(target), model(set(texts) - target)
+    for i, t in texts.items():
+        w = [None, *(t or "").split()]
+        want = [np.mean([m(x, y) for x, y in zip(w, w[1:], strict=False)]) if len(w) > 1 else 0.0 for m in models]
+        assert (got[i].ce_target, got[i].ce_background) == pytest.approx(want, abs=1e-9)
+
+
 def test_poisson_mix(spark):
     docs = table(spark, [(i, "t", "big" if i % 3 else "small") for i in range(6000)])
     out = mixing.poisson_mix(docs, {"small": 3.0}, seed=1)
