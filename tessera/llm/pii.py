@@ -151,7 +151,8 @@ def listed(spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """`docs` with entities replaced by [EMAIL], [IP], [CARD] and [PHONE], generalised terms by [TERM], and removed terms left out.
 
-    Of spans that overlap, the first by start, the longest first, stands. Settings: those of find_pii(). Null texts stay null.
+    Of spans that overlap, the first by start, the longest first, stands; one that reaches beyond it is replaced from there on by a mark
+    of its own, and one within it has no mark. Settings: those of find_pii(). Null texts stay null.
     """
     spans, of, key = fresh(docs, "pii_spans"), fresh(docs, "pii_of"), fresh(docs, "pii_key")
     found = find_pii(docs, id_col=id_col, text_col=text_col, **settings).select(col(id_col).alias(of), F.col("key").alias(key), F.concat("entities", "terms").alias(spans))
@@ -162,8 +163,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     def step(state: Column, s: Column) -> Column:
         mark = F.when(s["kind"] == REMOVE, "").when(s["kind"] == GENERALISE, "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), mark)
-        fits = s["start"] >= state["at"]
+        piece = F.concat(F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), mark)
+        fits = -s["end"] > state["at"]
         return F.struct(F.when(fits, -s["end"]).otherwise(state["at"]).alias("at"), F.when(fits, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
     state = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)

@@ -136,6 +136,12 @@ def test_terms_that_reveal(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_sanitise_overlapping_entities(spark):
+    texts = ["Call +1 555 123 4567john@x.com now", "4111 1111 1111 1111@x.com", "mail 4111111111111111@x.com now", "+1 555 123 4567.1.2.3 end"]
+    safe = {r.doc_id: r.text for r in pii.sanitise(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [safe[i] for i in range(3)] == ["Call [PHONE][EMAIL] now", "[CARD][EMAIL]", "mail [EMAIL] now"] and not entities(safe[3])
+
+
 def test_op9_digest(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op9_pii(spark, sf_dir).collect():
