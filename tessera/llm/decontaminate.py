@@ -1,7 +1,8 @@
 """Benchmark decontamination: windows of each item's size, SimHash, multi-index Hamming search and exact weighted-shingle similarity.
 
-A window that is similar enough shares a shingle with its item. So only windows that line up a shingle of a document with the same
-shingle of an item are looked at, which loses none. Their SimHash is looked up in an index of the items' fingerprints, cut into one more
+A window that is similar enough shares shingles with its item, wherever in either they stand. So every start is looked at whose window
+holds a shingle of an item of that size, and those are kept whose shingles that items of the size hold too weigh enough for any of them,
+which loses none. Sums over the windows are carried from one start to the next. The SimHash of what is kept is looked up in an index of the items' fingerprints, cut into one more
 block than the radius has bits: a fingerprint within the radius agrees in a block at least. Items within the radius are then verified by
 the weighted Jaccard similarity of shingles; a shingle weighs as many bytes as its words have.
 """
@@ -21,6 +22,8 @@ from tessera.llm.shingles import shingle_hashes, words
 
 #: Items that are broadcast at a time; larger benchmarks take several passes.
 ITEMS_A_PASS = 20_000
+#: Starts of windows whose sums are made at a time.
+STARTS = 4096
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -43,6 +46,20 @@ def similarity(a: dict[int, int], b: dict[int, int]) -> float:
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
+def window_sums(values: np.ndarray, previous: np.ndarray, size: int, first: int, last: int) -> np.ndarray:
+    """For each start from `first` to `last`, the sum of `values` of the distinct shingles among the `size` (or fewer, at the end) from it on.
+
+    previous: the place of the same shingle's occurrence before, -1 without one. A shingle counts where it first occurs in a window:
+    it is added at one start and taken off at another, whatever the windows' size.
+    """
+    end = min(last + size, len(values))
+    place, added = np.arange(first, end), np.maximum(previous[first:end], np.arange(first, end) - size) + 1
+    change = np.zeros((end - first + 1, *values.shape[1:]), dtype=np.int64)
+    np.add.at(change, np.maximum(added - first, 0), values[first:end])
+    change[place - first + 1] -= values[first:end]
+    return change.cumsum(0)[: last - first + 1]
+
+
 class HammingIndex:
     """Fingerprints by blocks of their bits: a search finds all within the radius."""
 
@@ -65,18 +82,18 @@ class Benchmark:
 
     def __init__(self, items: list[tuple], k: int, radius: int, least: float):
         self.least = least
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.places: dict[int, dict[int, set[int]]] = {}
         by_size: dict[int, list[tuple]] = defaultdict(list)
         for item_id, text in items:
             if w := words(text):
                 size, own = min(k, len(w)), shingle_hashes(words(text), k)
                 shingles = weighted(w, size)
                 by_size[len(w)].append((item_id, shingles, simhash(shingles)))
-                held = self.places.setdefault(size, defaultdict(list))
-                for offset, h in enumerate(own.tolist()):
-                    if (len(w), offset) not in held[h]:
-                        held[h].append((len(w), offset))
+                held = self.places.setdefault(size, defaultdict(set))
+                for h in own.tolist():
+                    held[h].add(len(w))
         self.items = {n: [x[:2] for x in same] for n, same in by_size.items()}
+        self.lightest = {n: min(sum(x[1].values()) for x in same) for n, same in by_size.items()}
         self.indexes = {n: HammingIndex([x[2] for x in same], radius) for n, same in by_size.items()}
         self.tables = {}
         for size, held in self.places.items():
@@ -84,6 +101,26 @@ class Benchmark:
             table[np.array([h >> 44 for h in held], dtype=np.int64)] = True
             self.tables[size] = table
 
+    def windows(self, h: np.ndarray, weights: np.ndarray, previous: np.ndarray, size: int, places: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+        """(start, SimHash) of the windows of `size` shingles in which those at `places` weigh `least`, and enough of the window's own weight."""
+        if weights[places].sum() < least * (1 - 1e-9):
+            return
+        shared = np.zeros(len(h), dtype=np.int64)
+        shared[places] = weights[places]
+        # Runs of starts that no window joins are looked at apart, so that the time follows the windows that hold a shared shingle.
+        for run in np.split(places, np.flatnonzero(np.diff(places) >= size) + 1):
+            for first in range(max(int(run[0]) - size + 1, 0), int(run[-1]) + 1, STARTS):
+                last = min(first + STARTS - 1, int(run[-1]))
+                common, total = (window_sums(x, previous, size, first, last) for x in (shared, weights))
+                kept = first + np.flatnonzero((common > 0) & (common >= (1 - 1e-9) * np.maximum(least, self.least * total)))
+                if len(kept) == 0:
+                    continue
+                a, b = int(kept[0]), int(kept[-1])
+                signs = ((h[a : b + size, None] >> _BITS) & np.uint64(1)).astype(np.int64) * 2 - 1
+                end = a + len(signs)
+                sums = window_sums(signs * weights[a:end, None], previous[a:end] - a, size, 0, b - a)[kept - a]
+                yield from zip(kept.tolist(), ((sums > 0).astype(np.uint64) << _BITS).sum(1).tolist(), strict=True)
+
     def matches(self, text: str | None) -> list[tuple]:
         """(item id, first word, words, distance, similarity) of each window that is similar enough to an item; the best window of each item."""
         w, best = words(text), {}
@@ -91,19 +128,27 @@ class Benchmark:
             if len(w) < size:
                 continue
             h = shingle_hashes(w, size)
-            starts = set()
+            hits = defaultdict(list)
             for p in np.flatnonzero(self.tables[size][(h >> np.uint64(44)).astype(np.int64)]).tolist():
-                starts.update((max(p - offset, 0), n) for n, offset in held.get(int(h[p]), ()))
-            for start, n in starts:
-                part = w[start : start + n]
-                if len(part) < size:
-                    continue
-                shingles = weighted(part, size)
-                for i, distance in self.indexes[n].within(simhash(shingles)):
-                    item_id, own = self.items[n][i]
-                    s = similarity(shingles, own)
-                    if s >= self.least and (item_id not in best or (-s, start) < best[item_id][0]):
-                        best[item_id] = ((-s, start), (item_id, start, len(part), distance, s))
+                for n in held.get(int(h[p]), ()):
+                    hits[n].append(p)
+            if not hits:
+                continue
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in w])])
+            weights = sizes[size:] - sizes[:-size]
+            order = np.argsort(h, kind="stable")
+            previous = np.full(len(h), -1)
+            same = h[order[1:]] == h[order[:-1]]
+            previous[order[1:][same]] = order[:-1][same]
+            for n, places in hits.items():
+                for start, fingerprint in self.windows(h, weights, previous, n - size + 1, np.array(places), self.least * self.lightest[n]):
+                    near = self.indexes[n].within(fingerprint)
+                    shingles = weighted(w[start : start + n], size) if near else {}
+                    for i, distance in near:
+                        item_id, own = self.items[n][i]
+                        s = similarity(shingles, own)
+                        if s >= self.least and (item_id not in best or (-s, start) < best[item_id][0]):
+                            best[item_id] = ((-s, start), (item_id, start, min(n, len(w) - start), distance, s))
         return [x for _, x in best.values()]
 
 

@@ -172,6 +172,36 @@ def test_decontamination_edges(spark, monkeypatch):
     assert clean.columns == docs.columns and clean.count() == len(ODD)
 
 
+def test_decontamination_finds_reordered_passages(spark):
+    a, b, before, after = ([f"{x}{i}" for i in range(50)] for x in ("a", "b", "p", "q"))
+    items = spark.createDataFrame([(1, " ".join(a + b))], "item_id long, text string")
+    docs = table(spark, [(1, " ".join(before + b + a + after), "s"), (2, " ".join(before + b + after), "s")])
+    assert [(r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontaminate.find_contamination(docs, items).collect()] == [(1, 1, 50, 100)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_decontamination_looks_at_every_start():
+    draw = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(30)]
+    items = [(i, " ".join(draw.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 8, 20, 20, 40])]
+    benchmark = decontaminate.Benchmark(items, 2, 30, 0.5)
+    for _ in range(40):
+        w = [draw.choice(vocabulary) for _ in range(60)]
+        for i in draw.sample(range(5), 2):
+            part = items[i][1].split()
+            cut = draw.randrange(len(part))
+            w[10 * i : 10 * i] = part[cut:] + part[:cut]
+        w, wanted = decontaminate.words(" ".join(w)), {}
+        for i, item in items:
+            own, n = decontaminate.weighted(decontaminate.words(item), 2), len(item.split())
+            for p in range(len(w) - 1):
+                part = decontaminate.weighted(w[p : p + n], 2)
+                s, d = decontaminate.similarity(part, own), (decontaminate.simhash(part) ^ decontaminate.simhash(own)).bit_count()
+                if s >= 0.5 and d <= 30 and (i not in wanted or s > wanted[i][4]):
+                    wanted[i] = (i, p, min(n, len(w) - p), d, s)
+        assert sorted(benchmark.matches(b" ".join(w).decode())) == sorted(wanted.values())
+
+
 def test_hamming_index_finds_all():
     draw = random.Random(5)
     prints = [draw.getrandbits(64) for _ in range(300)]
