@@ -25,10 +25,15 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors share; where the setting is absent, as in tests, a temporary folder is set."""
+    """The folder in spark.checkpoint.dir that all executors share. Where the setting is absent, a local master, as in tests, gets a temporary folder.
+
+    A cluster without the setting is an error: a folder of one machine would lose data.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -1,9 +1,11 @@
 """Personal data, with DataFrame functions alone: entities by pattern, and terms that reveal them by co-occurrence.
 
-Entities are e-mail and IP addresses, card and phone numbers. Words near an entity are terms. How strongly a term reveals an entity is
-its pointwise mutual information with it in the corpus over the entity's information content: log2(k N / (m d)) / log2(N / m), where
-of N documents m hold the entity, d the term, and k the entity with the term near it. 1 means that the term gives the entity away.
-Terms at or above one threshold are generalised, those at or above a higher one removed.
+Entities are e-mail and IP addresses, card and phone numbers. What is protected is an entity's value and what identifies a part of it: the
+domain of an address, the network of an IP, the issuer of a card, the leading digits of a phone number. The words of the documents that hold
+it are terms. How strongly a term reveals a protected value is its pointwise mutual information with it in the corpus over the value's
+information content: log2(k N / (m d)) / log2(N / m), where of N documents m hold the value, d the term, and k both. 1 means that the term
+gives the value away. In the documents that hold the value, every occurrence of a term at or above one threshold is generalised, and of
+one at or above a higher threshold removed.
 """
 
 from collections.abc import Callable
@@ -81,7 +83,7 @@ def valid(kind: str) -> Callable[[Column], Column]:
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, key (a hash of the text), entities (in the order of PATTERNS, then of start) and near (terms with their entity)."""
+    """For each row: id, key (a hash of the text), text and entities (in the order of PATTERNS, then of start)."""
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     hits = rows.withColumns({kind: F.when(F.contains("text", F.lit(sign)) if sign else F.lit(True), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none) for kind, sign in SIGN.items()})
@@ -90,22 +92,17 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.select("id", F.xxhash64("text").alias("key"), "text", F.concat(*PATTERNS).alias("entities"))
 
 
-def near_terms(found: DataFrame, window: int) -> DataFrame:
-    """For each entity of `found` and each term within `window` code points on either side: id, key, entity, term, start, end.
+def part_of(entity: Column) -> Column:
+    """What identifies a part of an entity: the domain, the network (two numbers), the issuer (six digits) or the leading four digits."""
+    kind, value = entity["kind"], F.lower(entity["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    part = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).otherwise(F.substring(digits, 1, F.when(kind == "card", 6).otherwise(4)))
+    return F.concat(kind, F.lit(" of "), part)
 
-    Words that the window cuts and words within an entity are left out.
-    """
-    each = found.select("id", "key", "text", "entities", F.explode("entities").alias("e"))
-    start, end, size = F.col("e.start"), F.col("e.end"), F.length("text")
-    from_ = F.greatest(start - window, F.lit(0))
-    sides = each.select("id", "key", "entities", F.lower("e.value").alias("entity"), size.alias("size"), from_.alias("from"), end.alias("after"),
-                        F.substring("text", from_ + 1, start - from_).alias("left"), F.substring("text", end + 1, F.lit(window)).alias("right"))
-    sides = sides.withColumns({f"{side}_hits": F.regexp_extract_all(side, F.lit(TERM), F.lit(0)) for side in ("left", "right")})
-    sides = sides.withColumns({side: gaps_and_hits(F.col(side), F.col(f"{side}_hits"), TERM) for side in ("left", "right")})
-    left = F.filter(placed(F.col("left"), "term", F.col("from")), lambda t: (F.col("from") == 0) | (t["start"] > F.col("from")))
-    right = F.filter(placed(F.col("right"), "term", F.col("after")), lambda t: (F.col("after") + window >= F.col("size")) | (t["end"] < F.col("after") + window))
-    terms = sides.select("id", "key", "entities", "entity", F.explode(F.concat(left, right)).alias("t"))
-    return terms.filter(~F.exists("entities", lambda e: (e["start"] < F.col("t.end")) & (e["end"] > F.col("t.start")))).select("id", "key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text: its whole runs of four letters or more, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -113,33 +110,42 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def find_pii(docs: DataFrame, window: int = 60, min_texts: int = 2, generalise_at: float = 0.6, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, key (a hash of the text), entities and terms, arrays of (kind, start, end, value).
 
-    entities: in the order email, ip, card, phone, then of start. terms: of kind generalise, then remove, each by start; a term needs
-    an entity that it stands near in min_texts different texts at least, so that copies of one text are no evidence.
+    entities: in the order email, ip, card, phone, then of start. terms: all occurrences of revealing terms outside entities, of kind
+    generalise, then remove, each by start. A term reveals a protected value if they meet in min_texts different texts at least, so
+    that copies of one text are no evidence, and its disclosure reaches generalise_at or remove_at.
 
     Edge cases: null and empty texts have no spans; null ids and repeated rows are rows like others; whole texts are searched,
-    in time linear in their length but for the number of matches; an entity that every document holds has no information content,
+    in time linear in their length but for the number of matches; a value that every document holds has no information content,
     and no term reveals it; an empty table gives an empty table; other columns are ignored.
     """
     everything = find_entities(docs, id_col, text_col)
     found = saved(everything.select("id", "key", "entities", F.when(F.size("entities") > 0, F.col("text")).alias("text")), "entities")
-    near = saved(near_terms(found.filter(F.size("entities") > 0), window), "near")
     n = found.count()
-    holders = found.select("id", "key", F.explode(F.array_distinct(F.transform("entities", lambda e: F.lower(e["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("m"))
-    pairs = near.groupBy("entity", "term", "id", "key").agg(F.lit(1)).groupBy("entity", "term").agg(F.count("*").alias("k"), F.count_distinct("key").alias("texts"))
-    pairs = saved(pairs.filter(F.col("texts") >= min_texts), "pairs")
+    values = F.array_distinct(F.concat(F.transform("entities", lambda e: F.lower(e["value"])), F.transform("entities", part_of)))
+    holding = found.filter(F.size("entities") > 0).select("id", "key", "text", F.explode(values).alias("entity"))
+    # A value in fewer texts than a term needs has no revealing term; it is left out before its documents' words are paired with it.
+    holders = small(saved(holding.groupBy("entity").agg(F.count("*").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "m"), "holders"))
+    near = holding.join(holders, "entity").select("id", "key", "entity", "m", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts)
+    pairs = saved(pairs, "pairs")
     terms = small(saved(pairs.select("term").distinct(), "terms"))
-    # A term is a whole run of letters here too, so that d counts at least the documents that k counts.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
+    # Terms are whole runs of letters here too, so that d counts at least the documents that k counts.
+    words = docs.select(F.explode(terms_of(col(text_col).cast("string"))).alias("term"))
     documents = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("d"))
     weight = F.log2(F.col("k") * float(n) / (F.col("m") * F.greatest("d", "k"))) / F.log2(float(n) / F.col("m"))
-    revealing = saved(pairs.join(documents, "term").join(holders, "entity").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing")
-    flagged = near.join(small(revealing), ["entity", "term"]).groupBy("id", "key", "start", "end").agg(F.max("term").alias("value"), F.max("disclosure").alias("disclosure"))
-    kind = F.when(F.col("disclosure") >= remove_at, REMOVE).otherwise(GENERALISE)
-    by_row = flagged.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "start", "end", "value"))).alias("terms"))
-    out = found.drop("text").join(by_row, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+    revealing = small(saved(pairs.join(documents, "term").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing"))
+    flagged = near.join(revealing, ["entity", "term"]).groupBy("id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
+    by_row = saved(flagged.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("flags")), "flags")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    told = found.filter(F.size("entities") > 0).join(by_row, same).withColumn("hits", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("pairs", gaps_and_hits(F.col("text"), F.col("hits"), TERM))
+    spans = F.filter(placed(F.col("pairs"), "term"), lambda t: F.element_at("flags", F.lower(t["value"])).isNotNull() & ~F.exists("entities", lambda e: (e["start"] < t["end"]) & (e["end"] > t["start"])))
+    kind = lambda t: F.when(F.element_at("flags", F.lower(t["value"])) >= remove_at, REMOVE).otherwise(GENERALISE)
+    marked = F.transform(spans, lambda t: F.struct(kind(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    own = told.select("of", "of_key", F.sort_array(marked).alias("terms")).dropDuplicates(["of", "of_key"])
+    out = found.drop("text").join(own, same, "left")
     return out.select(F.col("id").alias(id_col), "key", "entities", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 

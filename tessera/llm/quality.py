@@ -99,10 +99,13 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, accept_at: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Learns from the rows of `labels` (id, quality 0 or 1), of which a sample of `max_rows`, the first by a hash of the id, is used.
 
-    The sample bounds what is broadcast (ids) and what reaches the driver (features). Rows with a null id or label are left out.
+    The sample bounds what is broadcast (ids) and what reaches the driver (features). Rows with a null id or label are left out; an id
+    that is marked both ways counts as bad. Rows are put in one order before pairs are drawn, so that the model doesn't depend on how the
+    tables are partitioned.
     """
     sample = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(sample), "id").select("good", "text").mapInPandas(_featured, "good int, x array<double>").toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["good"].iat[i], tuple(rows["x"].iat[i])))]
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit_bradley_terry(x, rows["good"].to_numpy(), accept_at)
 
