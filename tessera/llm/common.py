@@ -46,6 +46,32 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if it has at most so many rows; otherwise it is joined by shuffle. It should be written first."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: A key that holds more than one of so many rows is hot; there are fewer hot keys than that.
+HOT_KEYS = 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 10_000) -> DataFrame:
+    """rows joined to `table`, whose keys are distinct, without gathering the rows of a hot key in one task.
+
+    The part of the table for hot keys has fewer than HOT_KEYS rows, and is broadcast; all else is joined as usual. Both frames
+    should be written or cheap. Up to `least` rows no key is hot.
+    """
+    total = rows.count()
+    if total <= least:
+        return rows.join(table, keys)
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > total / HOT_KEYS).select(*keys)
+    hot = saved(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    of_hot = rows.join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return of_hot.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what saved() wrote for `frames`, once nothing reads it any more."""
     context = spark.sparkContext

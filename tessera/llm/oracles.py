@@ -23,12 +23,15 @@ JACCARD_SQL = """
     -- Equal sets are one node; partners of other sets share a shingle.
     k AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) > 0 THEN md5(array_to_string(list_sort(shingles), chr(10))) END AS node, shingles FROM s),
     nodes AS (SELECT node, min(doc_id) AS id, any_value(n) AS n, any_value(shingles) AS shingles FROM k WHERE node IS NOT NULL GROUP BY node),
+    copies AS (SELECT node, count(*) AS n_rows FROM k WHERE node IS NOT NULL GROUP BY node),
     e AS (SELECT id, n, unnest(shingles) AS shingle FROM nodes),
     pairs AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM e a JOIN e b ON a.shingle = b.shingle AND a.id <> b.id GROUP BY ALL),
     links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (n + m - common)),
     reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-    least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
-    SELECT k.doc_id, k.n AS n_shingles, coalesce(component, k.doc_id) AS component_id FROM k LEFT JOIN nodes ON k.node = nodes.node LEFT JOIN least ON nodes.id = least.a"""
+    least AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+    counts AS (SELECT a, sum(n_rows) AS n_links FROM links JOIN nodes ON links.b = nodes.id JOIN copies ON copies.node = nodes.node GROUP BY a)
+    SELECT k.doc_id, k.n AS n_shingles, coalesce(component, k.doc_id) AS component_id, CAST(coalesce(n_rows - 1, 0) + coalesce(n_links, 0) AS BIGINT) AS n_links
+    FROM k LEFT JOIN nodes ON k.node = nodes.node LEFT JOIN copies ON k.node = copies.node LEFT JOIN least ON nodes.id = least.a LEFT JOIN counts ON nodes.id = counts.a"""
 
 CHAT_SQL = """
     WITH m AS (SELECT conv_id, CAST(coalesce(floor(turn / 256), 0) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),

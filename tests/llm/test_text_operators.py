@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, lm_scoring, mixing, oracles, pii, quality, queries, toxicity
+from tessera.llm import common, decontaminate, jaccard_join, lm_scoring, mixing, oracles, pii, quality, queries, toxicity
 from tessera.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, source string, score double, copy_id int, node long, id string, key string"
@@ -34,7 +34,7 @@ def shingles(text):
 
 
 def brute_classes(rows):
-    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    sets, label, links = [shingles(t) for _, t in rows], list(range(len(rows))), [0] * len(rows)
 
     def root(x):
         while label[x] != x:
@@ -45,10 +45,12 @@ def brute_classes(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 label[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = defaultdict(list)
     for i, (d, _) in enumerate(rows):
         least[root(i)].append(d)
-    return sorted(((d, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None), links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def test_jaccard_classes_brute_force(spark):
@@ -67,6 +69,25 @@ def test_jaccard_classes_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute_classes(rows)
 
 
+def test_jaccard_classes_of_hot_tokens_and_small_tiles(spark, monkeypatch):
+    for name, value in (("SALT_ROWS", 4), ("TILE_ROWS", 5), ("HUB_CHUNK", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(common.joined, "__defaults__", (10,))
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if draw.random() > 0.02 else f"x{i}" for w in base)) for i in range(80)] + [(100 + i, " ".join(base)) for i in range(40)]
+    rows += [(200 + i, " ".join([*(f"y{i} {j}" for j in range(60)), *base[:20]])) for i in range(30)]
+    got = jaccard_join.jaccard_classes(table(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted(map(tuple, got), key=str) == brute_classes(rows)
+
+
+def test_jaccard_ids_of_any_size(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, -(2**62) - 1, None]
+    got = jaccard_join.jaccard_classes(table(spark, [(i, f"one two three four five {n}", "s") for n, i in enumerate(ids)])).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((i, 2, i, 0) for i in ids), key=str)
+
+
 def test_jaccard_classes_empty_table(spark):
     assert jaccard_join.jaccard_classes(table(spark, [])).count() == 0
 
