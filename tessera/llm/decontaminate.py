@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.common import col, fresh
 from tessera.llm.shingles import shingle_hashes, words
@@ -170,12 +172,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).collect()
         sent = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part], k, radius, least))
 
-        def searched(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            types = to_arrow_schema(schema)
             for b in batches:
-                found = [(d, *m) for d, t in zip(b["id"], b["text"], strict=True) for m in sent.value.matches(t)]
-                yield pd.DataFrame(found, columns=schema.names)
+                found = [(d, *m) for d, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True) for m in sent.value.matches(t)]
+                yield pa.RecordBatch.from_pylist([dict(zip(types.names, f, strict=True)) for f in found], schema=types)
 
-        found = rows.mapInPandas(searched, schema)
+        found = rows.mapInArrow(searched, schema)
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -44,7 +44,7 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default_weight: f
     Returns the columns of `docs` with copy_id (0, 1, ...) and shuffle_key (32 hexadecimal digits; rows are ordered by it
     within each partition, and partitions hold random parts of the whole). Columns of those names in `docs` are replaced.
 
-    Edge cases: null ids draw as one id does; rows that share an id get equal counts; a null source is a source of its own;
+    Edge cases: rows with a null id draw by a hash of all their columns but maps; rows that share an id get equal counts; a null source is a source of its own;
     sources of weight 0 vanish; texts play no part; an empty table gives an empty table.
     """
     if default_weight < 0 or epochs < 0 or any(w < 0 for w in weights.values()):
@@ -62,8 +62,9 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], default_weight: f
     tables = poisson_tables(sizes.select("key", (F.col("weight") * scale / F.col("n")).alias("rate"))).withColumnsRenamed({"key": key, "cdf": cdf})
     if total.sources <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    unit = hashed_unit(F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("null")))
+    name_of = F.coalesce(col(id_col).cast("string"), F.concat(F.lit("null "), F.xxhash64(*[col(c) for c, t in docs.dtypes if "map<" not in t]).cast("string")))
+    unit = hashed_unit(F.lit(str(seed)), name_of)
     drawn = keyed.join(tables, key).withColumn(cdf, F.size(F.filter(cdf, lambda c: c <= unit)))
     copies = drawn.filter(F.col(cdf) > 0).withColumn("copy_id", F.explode(F.sequence(F.lit(0), F.col(cdf) - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(col(id_col).cast("string"), F.lit("null")), F.col("copy_id").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name_of, F.col("copy_id").cast("string")))
     return copies.drop(key, cdf).withColumn("shuffle_key", order).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -34,14 +34,20 @@ JACCARD_SQL = """
     FROM k LEFT JOIN nodes ON k.node = nodes.node LEFT JOIN copies ON k.node = copies.node LEFT JOIN least ON nodes.id = least.a LEFT JOIN counts ON nodes.id = counts.a"""
 
 CHAT_SQL = """
-    WITH m AS (SELECT conv_id, CAST(coalesce(floor(turn / 256), 0) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM r),
+    own AS (SELECT conv_id, CAST(place // 4096 AS BIGINT) AS segment, place, role, text FROM o),
+    -- Later segments begin with the system messages of the first.
+    m AS (SELECT * FROM own UNION ALL
+          SELECT s.conv_id, l.segment, h.place, h.role, h.text FROM (SELECT DISTINCT conv_id, segment FROM own WHERE segment > 0) l
+          JOIN own h ON h.conv_id IS NOT DISTINCT FROM l.conv_id AND h.segment = 0 AND h.role = 'system' JOIN (SELECT DISTINCT conv_id FROM own) s ON s.conv_id IS NOT DISTINCT FROM l.conv_id),
     p AS (SELECT DISTINCT conv_id, role AS participant FROM m WHERE role <> 'system'),
-    x AS (SELECT m.conv_id, participant, segment, turn, role, text, role = participant AS own,
+    x AS (SELECT m.conv_id, participant, segment, place, role, text, role = participant AS own,
                  CASE WHEN role = participant THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
                       ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|', '< |'), '[\\r\\n]', ' ', 'g') || chr(10) END AS head,
                  replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
     y AS (SELECT *, row_number() OVER w AS i, sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM x
-          WINDOW w AS (PARTITION BY conv_id, participant, segment ORDER BY turn NULLS FIRST, role, text))
+          WINDOW w AS (PARTITION BY conv_id, participant, segment ORDER BY place))
     SELECT conv_id, participant, segment, count(*) AS n_messages, count(*) FILTER (own) AS n_trained, string_agg(head || body, '' ORDER BY i) AS rendered,
            coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ',' ORDER BY i), '') AS mask_spans
     FROM y GROUP BY conv_id, participant, segment"""

@@ -102,9 +102,26 @@ def test_perspectives(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, None, None, "x"), (3, 300, "ann", "late"), (3, 1, "bob", "soon"), (3, 1, "bob", "soon")]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, participant int")
     out = {(r.conv_id, r.participant, r.segment): r for r in chat.rotate_perspectives(turns).collect()}
-    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0), (3, "ann", 1), (3, "bob", 0), (3, "bob", 1)}
+    assert set(out) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0), (3, "bob", 0)}
     ann = out[1, "ann", 0]
     assert ann.rendered == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\nyo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [ann.rendered[int(a) : int(b)] for a, b in (s.split(":") for s in ann.mask_spans.split(","))] == ["hi < |im_end|><|im_end|>\n", "<|im_end|>\n"]
-    assert out[3, "ann", 0].mask_spans == "" and out[3, "bob", 0].n_trained == 2
+    assert out[3, "ann", 0].n_trained == 1 and out[3, "bob", 0].n_trained == 2
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
+
+
+def test_long_conversations(spark):
+    rows = [(1, 0, "system", "rules"), *[(1, 100 + i, ("ann", "bob")[i % 2], f"m{i}") for i in range(999)], *[(2, 250 + i, "cat", str(i)) for i in range(10)], *[(None, None, "dot", f"{i:02}") for i in range(7)]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.participant): r for r in chat.rotate_perspectives(turns).collect()}
+    assert set(whole) == {(1, "ann"), (1, "bob"), (2, "cat"), (None, "dot")} and whole[1, "ann"].n_messages == 1000
+    cut = {(r.conv_id, r.participant, r.segment): r for r in chat.rotate_perspectives(turns, messages_per_segment=6).collect()}
+    for conv, who in whole:
+        own = [(x[2], x[3]) for x in rows if x[0] == conv]
+        parts = [own[i : i + 6] for i in range(0, len(own), 6)]
+        assert sum(k[:2] == (conv, who) for k in cut) == len(parts)
+        for i, part in enumerate(parts):
+            part = [m for m in own if m[0] == "system"] * (i > 0) + part
+            got = cut[conv, who, i]
+            assert got.n_messages == len(part) and got.n_trained == sum(r == who for r, _ in part)
+            assert got.rendered == "".join(f"<|im_start|>{'assistant' if r == who else 'system' if r == 'system' else 'user name=' + r}\n{t}<|im_end|>\n" for r, t in part)
