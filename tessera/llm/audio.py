@@ -1,22 +1,32 @@
-"""Chroma audio fingerprints: pitch-class frames, integral-image filters, packed integers, and alignment by offsets and bit errors."""
+"""Chroma audio fingerprints: pitch-class frames, integral-image filters, packed integers, and alignment by offsets and bit errors.
+
+Recordings are looked up by keys that survive noise: a quarter of an item's bits (four filters) at four places, TAPS apart. In each quarter
+bits differ rarely enough that some places agree, where whole items hardly ever do. Each key that a query and a recording share votes
+for the offset between its places; offsets with votes enough are decided by the share of differing bits.
+"""
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import col, saved
+from tessera.llm.common import col, joined, saved
 
 FRAME, HOP, WIDTH, FILTERS = 512, 128, 16, 16
 #: Frames whose spectra are held at once.
 BLOCK = 256
 #: Logarithms of ratios that separate a filter's four levels.
 LEVELS = np.array([-0.2, 0.0, 0.2])
+#: Places of a key's items, from its first; bits of a quarter.
+TAPS, QUARTER = (0, 4, 8, 12), 8
+#: Items of queries that are looked up at a time, sent to every task; more queries take several passes. Recordings that a task looks up at a time.
+ITEMS_A_PASS, RECORDINGS = 200_000, 500
 
 
 @lru_cache
@@ -100,42 +110,120 @@ def fingerprints(recordings: DataFrame, rate: int, id_col: str = "id", pcm_col:
     rows = recordings.select(col(id_col).alias("id"), col(pcm_col).alias("pcm"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("items", T.ArrayType(T.IntegerType()))])
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "items": [fingerprint(decode(p) if decode else p, rate) for p in b["pcm"]]})
+            items = [fingerprint(decode(p) if decode else p, rate) for p in b["pcm"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(items, pa.list_(pa.int32()))], schema=to_arrow_schema(schema))
 
-    return rows.mapInPandas(made, schema)
+    return rows.mapInArrow(made, schema)
 
 
-def align(prints: DataFrame, is_query: Column, min_votes: int = 4, max_bit_error: float = 0.15, min_overlap: int = 16) -> DataFrame:
+def keys(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a fingerprint and their places. Of equal keys of a quarter in a row, as a sustained sound has, the first counts."""
+    n = len(items) - TAPS[-1]
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    u, out, at = items.view(np.uint32).astype(np.uint64), [], []
+    for quarter in range(32 // QUARTER):
+        own = np.full(n, quarter, dtype=np.uint64)
+        for tap in TAPS:
+            own = own << np.uint64(QUARTER) | (u[tap : tap + n] >> np.uint64(QUARTER * quarter) & np.uint64(2**QUARTER - 1))
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out.append(own[starts])
+        at.append(starts)
+    return np.concatenate(out), np.concatenate(at)
+
+
+def bit_error(a: np.ndarray, b: np.ndarray, start: int) -> tuple[int, float]:
+    """The items that overlap if a begins at place `start` of b, and the share of their bits that differ."""
+    a, b = a[max(-start, 0) :], b[max(start, 0) :]
+    n = min(len(a), len(b))
+    return n, float(np.bitwise_count((a[:n] ^ b[:n]).view(np.uint32)).sum()) / (32 * n) if n else 1.0
+
+
+class Queries:
+    """The queries of a pass: their names and items, and an index of their keys."""
+
+    def __init__(self, names: list[int], items: list[np.ndarray]):
+        self.names, self.items = names, items
+        found = [keys(x) for x in items]
+        owner = np.repeat(np.arange(len(items)), [len(k) for k, _ in found])
+        every, at = (np.concatenate([np.empty(0, dtype=t), *x]) for t, x in ((np.uint64, [k for k, _ in found]), (np.int64, [p for _, p in found])))
+        order = np.argsort(every, kind="stable")
+        self.keys, self.owner, self.at = every[order], owner[order], at[order]
+
+    def matches(self, recordings: list[np.ndarray], min_votes: int, max_bit_error: float, min_overlap: int) -> Iterator[tuple[int, int, int, int, float]]:
+        """(query, recording, start, votes, bit error) of each pair of positions that aligns, at its start with the least bit error."""
+        found = [keys(x) for x in recordings]
+        owner = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+        every, at = (np.concatenate([np.empty(0, dtype=t), *x]) for t, x in ((np.uint64, [k for k, _ in found]), (np.int64, [p for _, p in found])))
+        low, high = np.searchsorted(self.keys, every, "left"), np.searchsorted(self.keys, every, "right")
+        # Recordings are taken in runs of some million votes, so that a key which very many have costs time, not memory.
+        upto, r = np.cumsum([0, *np.bincount(owner, high - low, minlength=len(found)).astype(np.int64)]), 0
+        while r < len(found):
+            end = max(r + 1, int(np.searchsorted(upto, upto[r] + 4_000_000, "right")) - 1)
+            a, b = np.searchsorted(owner, [r, end])
+            n = high[a:b] - low[a:b]
+            place = np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            votes = np.stack([np.repeat(owner[a:b], n), self.owner[place], np.repeat(at[a:b], n) - self.at[place]])
+            order = np.lexsort(votes[::-1])
+            votes = votes[:, order]
+            cuts = np.flatnonzero(np.concatenate([[True], (votes[:, 1:] != votes[:, :-1]).any(0), [True]])) if votes.shape[1] else np.zeros(1, dtype=np.int64)
+            counts, firsts = np.diff(cuts), cuts[:-1]
+            best: dict[tuple[int, int], tuple] = {}
+            for i in np.flatnonzero(counts >= min_votes).tolist():
+                recording, query, start = votes[:, firsts[i]].tolist()
+                overlap, error = bit_error(self.items[query], recordings[recording], start)
+                if overlap >= min_overlap and error <= max_bit_error:
+                    tried = (error, -int(counts[i]), start)
+                    best[query, recording] = min(best.get((query, recording), tried), tried)
+            for (query, recording), (error, votes_of, start) in best.items():
+                yield query, recording, start, -votes_of, error
+            r = end
+
+
+def align(prints: DataFrame, is_query: Column, min_votes: int = 2, max_bit_error: float = 0.15, min_overlap: int = 16) -> DataFrame:
     """Aligns recordings (id, items): the queries, by is_query over id, with all others.
 
     Recordings with equal fingerprints are a class, named by its least id. Returns one row for each recording (id, class_id, n_items,
     the other columns null), and one for each class that has a query and each other class that aligns with it: class_id, match_class_id,
-    start (the item of the match that meets the class's first, negative if it begins later), votes (equal changes from one item
-    to another at that start) and bit_error (the share of differing bits where they overlap); id is null there.
-    The start has the most votes, and of equal ones is the least.
+    start (the item of the match that meets the class's first, negative if it begins later), votes (the keys that agree at that start)
+    and bit_error (the share of differing bits where they overlap); id is null there. Two classes align if at a start with min_votes
+    their overlap is min_overlap items or more and the bit error at most max_bit_error; of such starts, the one with the least
+    bit error counts, then that with most votes, then the least.
+
+    Queries are sent out in passes of ITEMS_A_PASS items; each task looks its recordings up in the pass's keys, and nothing is shuffled.
 
-    Edge cases: recordings without items form no class (class_id null) and match nothing; repeated rows are of one class; null ids are
-    members, and name a class only if all its ids are null; an empty table gives an empty table.
+    Edge cases: recordings without items form no class (class_id null) and match nothing, nor do those of fewer than min_overlap
+    items; repeated rows are of one class; null ids are members, and name a class only if all its ids are null; an empty table
+    gives an empty table.
     """
-    named = saved(prints.select("id", "items", F.md5(F.array_join("items", ",")).alias("key"), F.coalesce(is_query, F.lit(False)).alias("asks")), "prints")
-    some = named.filter(F.size("items") > 0)
-    classes = saved(some.groupBy("key").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.max("asks").alias("asks")), "classes")
-    # A vote is a change from one item to another: single items are too common to look up, and a sustained sound would vote for every offset.
-    change = F.shiftleft(F.element_at("items", F.greatest("at", F.lit(1))).cast("long"), 32).bitwiseOR(F.col("item").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    places = classes.select("key", "asks", F.posexplode("items").alias("at", "item"), "items").filter((F.col("at") > 0) & (F.element_at("items", F.greatest("at", F.lit(1))) != F.col("item"))).select("key", "asks", "at", change.alias("change"))
-    asked = places.filter("asks").select(F.col("key").alias("q"), F.col("at").alias("q_at"), "change")
-    votes = asked.join(places.select(F.col("key").alias("r"), F.col("at").alias("r_at"), "change"), "change").filter("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("start")).agg(F.count("*").alias("votes"))
-    best = votes.filter(F.col("votes") >= min_votes).groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("start")).alias("back"))).alias("b")).select("q", "r", "b.votes", (-F.col("b.back")).alias("start"))
-    q, r = (classes.select(F.col("key").alias(c), F.col("class_id").alias(f"{c}_class"), F.col("items").alias(f"{c}_items")) for c in "qr")
-    both = best.join(q, "q").join(r, "r")
-    from_q, from_r = F.greatest(-F.col("start"), F.lit(0)), F.greatest(F.col("start"), F.lit(0))
-    overlap = F.least(F.size("q_items") - from_q, F.size("r_items") - from_r)
-    both = both.withColumn("overlap", overlap).filter(F.col("overlap") >= min_overlap)
-    errors = F.aggregate(F.zip_with(F.slice("q_items", from_q + 1, overlap), F.slice("r_items", from_r + 1, overlap), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    matches = both.withColumn("bit_error", errors / (F.col("overlap") * 32)).filter(F.col("bit_error") <= max_bit_error)
+    named = saved(prints.select("id", "items", F.when(F.size("items") > 0, F.xxhash64("items", F.size("items"))).alias("key"), F.coalesce(is_query, F.lit(False)).alias("asks")), "prints")
+    classes = saved(named.filter("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.max("asks").alias("asks")), "classes")
+    asked = classes.filter("asks").select("key", "items")
+    passes = max(1, -(-(asked.agg(F.sum(F.size("items"))).first()[0] or 0) // ITEMS_A_PASS))
+    spark, found = prints.sparkSession, None
+    for i in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == i).collect()
+        sent = spark.sparkContext.broadcast(Queries([r.key for r in part], [np.array(r["items"], dtype=np.int32) for r in part]))
+
+        def looked_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            queries, names = sent.value, ["q", "r", "start", "votes", "bit_error"]
+            types = pa.schema([(x, t) for x, t in zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)])
+            for b in batches:
+                for at in range(0, b.num_rows, RECORDINGS):
+                    cut = b.slice(at, RECORDINGS)
+                    own, items = cut["key"].to_pylist(), [x.values.to_numpy() for x in cut["items"]]
+                    rows = [(queries.names[q], own[r], start, votes, error) for q, r, start, votes, error in queries.matches(items, min_votes, max_bit_error, min_overlap) if queries.names[q] != own[r]]
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema=types)
+
+        one = classes.select("key", "items").mapInArrow(looked_up, "q long, r long, start int, votes long, bit_error double")
+        found = one if found is None else found.unionAll(one)
+    found = saved(found, "found")
+    q, r = (classes.select(F.col("key").alias(c), F.col("class_id").alias(f"{c}_class"), F.size("items").alias(f"{c}_items")) for c in "qr")
+    matches = found.join(q, "q").join(r.drop("r_items"), "r")
     id_type = dict(prints.dtypes)["id"]
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("match_class_id", id_type), ("start", "int"), ("votes", "long"), ("bit_error", "double"))]
-    members = named.join(classes.select("key", "class_id"), "key", "left").select("id", "class_id", F.size("items").alias("n_items"), *nothing)
-    return members.unionAll(matches.select(F.lit(None).cast(id_type).alias("id"), F.col("q_class").alias("class_id"), F.size("q_items").alias("n_items"), F.col("r_class").alias("match_class_id"), "start", "votes", "bit_error"))
+    members = joined(named.select("id", "items", "key").filter("key is not null"), classes.select("key", "class_id"), ["key"]).select("id", "class_id", F.size("items").alias("n_items"), *nothing)
+    silent = named.filter("key is null").select("id", F.lit(None).cast(id_type).alias("class_id"), F.size("items").alias("n_items"), *nothing)
+    return members.unionAll(silent).unionAll(matches.select(F.lit(None).cast(id_type).alias("id"), F.col("q_class").alias("class_id"), F.col("q_items").alias("n_items"), F.col("r_class").alias("match_class_id"), "start", "votes", "bit_error"))
