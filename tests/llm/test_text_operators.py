@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, jaccard_join, lm_scoring, mixing, oracles, pii, quality, queries, toxicity
+from tessera.llm import common, decontaminate, jaccard_join, lm_scoring, mixing, oracles, pii, quality, queries
 from tessera.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, source string, score double, copy_id int, node long, id string, key string"
@@ -153,7 +153,7 @@ def test_terms_that_reveal(spark):
     safe = pii.sanitise(docs)
     assert safe.columns == docs.columns and safe.count() == len(rows)
     texts = {r.doc_id: r.text for r in safe.collect()}
-    assert texts[3] == "The account of [TERM] is [EMAIL] at branch number 3" and texts[100] == rows[40][1] and texts[None] == "A null id: [EMAIL]" and texts[900] is None
+    assert texts[3] == "The account of  is [EMAIL] at branch number 3" and texts[100] == rows[40][1] and texts[None] == "A null id: [EMAIL]" and texts[900] is None
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
@@ -239,6 +239,31 @@ def test_quality_held_out(spark, sf_dir):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
 
 
+def test_quality_does_not_depend_on_partitions(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = quality.train_quality(docs.coalesce(1), labels), quality.train_quality(docs.repartition(7), labels.repartition(3))
+    assert (one.weights == other.weights).all() and one.threshold == other.threshold
+
+
+def test_quality_brute_force(spark, sf_dir):
+    """The gradient of the plain loss over the drawn pairs vanishes at the weights, and no threshold among the scores has fewer errors by 0.5 %."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    x, good = np.array([quality.features(r.text) for r in docs]), np.array([r.quality for r in docs])
+    model = quality.fit_bradley_terry(x, good)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    up, down, draw = np.flatnonzero(good == 1), np.flatnonzero(good == 0), np.random.default_rng(7)
+    pairs = list(zip(draw.choice(up, len(down) * 16), np.repeat(down, 16), strict=True))
+    gradient = 1e-2 * model.weights
+    for a, b in pairs:
+        d = z[a] - z[b]
+        gradient = gradient - d / (1 + np.exp(d @ model.weights)) / len(pairs)
+    assert np.abs(gradient).max() < 1e-6
+    raw = z @ model.weights
+    errors = [((raw >= t) != (good == 1)).sum() for t in (*np.sort(raw), model.threshold)]
+    assert errors[-1] <= min(errors) + 0.005 * len(raw)
+    assert ((model.score(x) >= 0.7) == (raw >= model.threshold)).all()
+
+
 def test_quality_edges(spark):
     model = quality.fit_bradley_terry(np.array([quality.features("good words here. And more."), quality.features("BAD!! ### %%%")]), np.array([1, 0]))
     docs = table(spark, ODD)
@@ -249,26 +274,6 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), quality.train_quality(docs, none)).count() == 0
 
 
-def test_toxicity_finds_marked_words(spark):
-    draw = random.Random(2)
-    plain = [f"word{i}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(300)]
-    rows, marks = [], []
-    for i in range(400):
-        w = [draw.choice(plain) for _ in range(60)]
-        if toxic := i % 5 == 0:
-            for _ in range(4):
-                w[draw.randrange(60)] = draw.choice(["vile", "rotten", "foul"])
-        rows.append((i, " ".join(w), "s"))
-        marks.append((i, int(toxic)))
-    docs = table(spark, [*rows, *[(1000 + (i or 0), t, s) for i, t, s in ODD]])
-    model = toxicity.train_toxic(docs, spark.createDataFrame(marks, "doc_id long, toxic int").filter("doc_id < 300"))
-    scores = {r.doc_id: r.score for r in toxicity.score_toxic(docs, model).collect()}
-    assert np.mean([(scores[i] >= 0.5) == bool(m) for i, m in marks[300:]]) > 0.97
-    assert all(0 <= s < 0.5 for i, s in scores.items() if i >= 1000)
-    nothing = toxicity.train_toxic(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
-    assert nothing.score("any text") < 0.5
-
-
 def test_cross_entropy_difference_brute_force(spark):
     docs = table(spark, [(1, "a b a b c", "s"), (2, "b b b a", "s"), (3, "c c rare c", "s"), (4, None, "s"), (5, "", "s"), (None, "a b", "s")])
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(1,), (1,)], "x long"), vocabulary_size=5, prior=2.0).collect()}
