@@ -1,6 +1,6 @@
 """DuckDB SQL with the rows of the queries that SQL can express."""
 
-from tessera.llm.queries import MIX_SEED, MIX_WEIGHTS
+from tessera.llm.queries import MIX_SEED, MIX_WEIGHTS, URL_RULES
 
 _WEIGHT = "CASE source " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in MIX_WEIGHTS.items()) + " ELSE 1.0 END"
 
@@ -52,8 +52,83 @@ CHAT_SQL = """
            coalesce(string_agg(CASE WHEN own THEN CAST(CAST(upto - length(body) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR) END, ',' ORDER BY i), '') AS mask_spans
     FROM y GROUP BY conv_id, participant, segment"""
 
+_RULES = sorted(URL_RULES, key=lambda x: -len(x[0]))
+_FITS = [(rule, says, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')") for rule, says in _RULES for h, _, p in [rule.partition("/")]]
+_GRAMS = "unnest(list_transform(range(1, length(rest) + 2), lambda i: substr('^^^' || rest || '$', i, 4)))"
+
+
+def _smoothed(k: int, side: str) -> str:
+    """The Witten-Bell probability of order k: p_(k - 1) where the context was never seen."""
+    lower = f"p{side}{k - 1}"
+    return f"CASE WHEN coalesce(h{k}.n{side}, 0) > 0 THEN (coalesce(c{k}.{side}, 0) + h{k}.t{side} * {lower}) / (h{k}.n{side} + h{k}.t{side}) ELSE {lower} END AS p{side}{k}"
+
+
+_COUNTS = ", ".join(f"c{k} AS (SELECT substr(g, 2, {k}) AS g, sum(a) AS a, sum(r) AS r FROM c{k + 1} GROUP BY 1)" for k in (3, 2, 1))
+_CONTEXTS = ", ".join(f"h{k} AS (SELECT substr(g, 1, {k - 1}) AS g, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr, count(*) FILTER (r > 0) AS tr FROM c{k} GROUP BY 1)" for k in (2, 3, 4))
+_ORDERS = ", ".join(
+    f"q{k} AS (SELECT q{k - 1}.*, {_smoothed(k, 'a')}, {_smoothed(k, 'r')} FROM q{k - 1} LEFT JOIN c{k} ON c{k}.g = substr(q{k - 1}.g, {5 - k}, {k}) LEFT JOIN h{k} ON h{k}.g = substr(q{k - 1}.g, {5 - k}, {k - 1}))" for k in (2, 3, 4)
+)
+
+URL_SQL = f"""
+    WITH p AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+    h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+    j AS (SELECT *, CASE {" ".join(f"WHEN {fits} THEN '{rule}'" for rule, _, fits in _FITS)} END AS rule, CASE {" ".join(f"WHEN {fits} THEN '{says}'" for _, says, fits in _FITS)} END AS says FROM h),
+    u AS (SELECT DISTINCT rest, says, substr(md5(rest), 1, 1) IN ('0', '1', '2') AS held FROM j),
+    c4 AS (SELECT g, count(*) FILTER (says = 'allow') AS a, count(*) FILTER (says = 'block') AS r FROM (SELECT says, {_GRAMS} AS g FROM u WHERE says IS NOT NULL AND NOT held) GROUP BY g),
+    {_COUNTS}, {_CONTEXTS},
+    total AS (SELECT coalesce(sum(a), 0) AS na, count(*) FILTER (a > 0) AS ta, coalesce(sum(r), 0) AS nr, count(*) FILTER (r > 0) AS tr FROM c1),
+    s AS (SELECT rest, says, {_GRAMS} AS g FROM u WHERE says IS NULL OR held),
+    q1 AS (SELECT w.g, (coalesce(c1.a, 0) + (ta + 1) / 256.0::DOUBLE) / (na + ta + 1) AS pa1, (coalesce(c1.r, 0) + (tr + 1) / 256.0::DOUBLE) / (nr + tr + 1) AS pr1
+           FROM (SELECT DISTINCT g FROM s) w CROSS JOIN total LEFT JOIN c1 ON c1.g = substr(w.g, 4, 1)),
+    {_ORDERS},
+    scores AS (SELECT rest, says, avg(ln(pa4) - ln(pr4)) AS score FROM s JOIN q4 ON s.g = q4.g GROUP BY rest, says),
+    m AS (SELECT avg(score) FILTER (says = 'allow') AS ma, stddev_pop(score) FILTER (says = 'allow') AS da, avg(score) FILTER (says = 'block') AS mr, stddev_pop(score) FILTER (says = 'block') AS dr FROM scores),
+    t AS (SELECT CASE WHEN ma IS NULL OR mr IS NULL THEN '-Infinity'::DOUBLE WHEN da + dr = 0 THEN (ma + mr) / 2 ELSE (ma * dr + mr * da) / (da + dr) END AS threshold FROM m)
+    SELECT page_id, host, path, rule, coalesce(j.says, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+    FROM j CROSS JOIN t LEFT JOIN scores ON j.says IS NULL AND scores.says IS NULL AND scores.rest = j.rest"""
+
+# The plain patterns of the contract, in its order.
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_TERM = r"\p{L}{4,}"
+
+
+def _spans(kind: str, pattern: str, rows: str) -> str:
+    """The matches of a pattern in the texts of `rows` (doc, text), with their places in code points, end exclusive."""
+    parts = f"SELECT doc, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM {rows} WHERE regexp_matches(text, '{pattern}')"
+    each = f"SELECT doc, unnest(hits) AS value, unnest(gaps[:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS i FROM ({parts})"
+    return f"SELECT doc, '{kind}' AS kind, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY doc ORDER BY i) - length(value) AS BIGINT) AS start FROM ({each})"
+
+
+_PASSES = """CASE kind WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0
+        WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+            CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INTEGER) ELSE CAST(substr(reverse(digits), i, 1) AS INTEGER) * 2 - 9 * CAST(CAST(substr(reverse(digits), i, 1) AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0
+        WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE true END"""
+
+PII_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+    found AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({" UNION ALL ".join(_spans(k, p, "d") for k, p in _KINDS.items())})),
+    e AS (SELECT doc, kind, lower(value) AS value, digits, start, start + length(value) AS stop, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS place FROM found WHERE {_PASSES}),
+    part AS (SELECT DISTINCT doc, unnest([value, kind || ' of ' || CASE kind WHEN 'email' THEN split_part(value, '@', -1) WHEN 'ip' THEN split_part(value, '.', 1) || '.' || split_part(value, '.', 2)
+             WHEN 'card' THEN substr(digits, 1, 6) ELSE substr(digits, 1, 4) END]) AS entity FROM e),
+    words AS (SELECT DISTINCT doc, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM d),
+    df AS (SELECT term, count(*) AS d FROM words GROUP BY term),
+    m AS (SELECT entity, count(*) AS m FROM part JOIN d USING (doc) GROUP BY entity HAVING count(DISTINCT text) >= 3),
+    k AS (SELECT entity, term, count(*) AS k FROM part JOIN m USING (entity) JOIN words USING (doc) JOIN d USING (doc) GROUP BY entity, term HAVING count(DISTINCT text) >= 3),
+    n AS (SELECT count(*)::DOUBLE AS n FROM d),
+    flags AS (SELECT entity, term, log2(k * n / (m * greatest(d, k))) / log2(n / m) AS disclosure FROM k JOIN m USING (entity) JOIN df USING (term) CROSS JOIN n),
+    own AS (SELECT doc, term, max(disclosure) AS disclosure FROM part JOIN flags USING (entity) WHERE disclosure >= 0.6 GROUP BY doc, term),
+    told AS (SELECT * FROM d WHERE doc IN (SELECT doc FROM own)),
+    t AS (SELECT doc, CASE WHEN disclosure >= 0.9 THEN 'remove' ELSE 'generalise' END AS kind, start, start + length(value) AS stop FROM ({_spans("term", _TERM, "told")}) s JOIN own USING (doc)
+          WHERE own.term = lower(s.value) AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc = s.doc AND e.start < s.start + length(s.value) AND e.stop > s.start)),
+    base AS (SELECT doc, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS listed FROM e GROUP BY doc),
+    more AS (SELECT doc, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS listed FROM t GROUP BY doc)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)}, sha256(coalesce(base.listed, '')) AS base_sha256, concat_ws(',', base.listed, more.listed) AS spans
+    FROM d LEFT JOIN base USING (doc) LEFT JOIN more USING (doc)"""
+
 ORACLES = {
     "op2_poisson_mix": MIX_SQL.format(docs="documents"),
     "op4_jaccard_join": JACCARD_SQL,
+    "op6_url_filter": URL_SQL,
+    "op9_pii": PII_SQL,
     "op10_perspectives": CHAT_SQL,
 }

@@ -62,7 +62,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES).withColumn("score", F.round("score", 6))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, col, saved
+from tessera.llm.common import LOWER, UPPER, col, joined, saved
 
 #: Up to so many distinct grams (some 50 bytes each), the model is broadcast; beyond, it is joined by shuffle.
 BROADCAST_GRAMS = 300_000
@@ -81,8 +81,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     rest = rest_of(col(url_col))
     rows = pages.select(col(id_col).alias("id"), F.coalesce(rest, F.lit("")).alias("rest"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
+    # Rows that no rule decides are joined to the scores of their URLs, of which one, such as the empty one, may be very common.
     judged = rows.withColumns({"host": host_of(F.col("rest")), "path": path_of(F.col("rest"))}).withColumn("rule", rule).withColumn("says", verdict)
-    distinct = judged.select("rest", "says").distinct().withColumn("held", F.substring(F.md5("rest"), 1, 1).isin("0", "1", "2"))
+    distinct = saved(judged.select("rest", "says").distinct().withColumn("held", F.substring(F.md5("rest"), 1, 1).isin("0", "1", "2")), "urls")
     trains = distinct.filter(F.col("says").isNotNull() & ~F.col("held"))
     counts = saved(trains.select("says", F.explode(grams(F.col("rest"))).alias("g")).groupBy("g").agg(F.count_if(F.col("says") == "allow").alias("a"), F.count_if(F.col("says") == "block").alias("r")), "grams")
     scored = distinct.filter(F.col("says").isNull() | F.col("held")).select("rest", "says", F.explode(grams(F.col("rest"))).alias("g"))
@@ -95,6 +96,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
         a, r = by["allow"], by["block"]
         both = a.deviation + r.deviation
         threshold = (a.mean * r.deviation + r.mean * a.deviation) / both if both else (a.mean + r.mean) / 2
-    own = scores.filter("says is null").select("rest", "score")
-    method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return judged.join(own, "rest", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "score")
+    own = scores.filter("says is null").select("rest", "score", F.when(F.col("score") >= threshold, "allow").otherwise("block").alias("method"))
+    nothing = F.lit(None).cast("double")
+    ruled_ = judged.filter("says is not null").select("id", "host", "path", "rule", F.col("says").alias("verdict"), nothing.alias("score"))
+    scored_ = joined(judged.filter("says is null"), own, ["rest"]).select("id", "host", "path", "rule", F.col("method").alias("verdict"), "score")
+    return ruled_.unionAll(scored_).withColumnRenamed("id", id_col)
