@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, saved
+from tessera.llm.common import dropped, joined, saved
 
 
 def _stars(edges: DataFrame, upwards: bool) -> DataFrame:
@@ -17,11 +17,11 @@ def _stars(edges: DataFrame, upwards: bool) -> DataFrame:
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    known = joined(both, least, ["u"])
     if upwards:
-        out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = known.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = known.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
@@ -32,10 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = saved(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     while True:
-        then = saved(_stars(_stars(now, True), False), "edges")
+        large = saved(_stars(now, True), "edges")
+        then = saved(_stars(large, False), "edges")
         # Both have distinct rows, so that equal numbers and no new row mean equal sets.
         done = then.count() == now.count() and then.join(now, ["a", "b"], "left_anti").isEmpty()
-        dropped(edges.sparkSession, now)
+        dropped(edges.sparkSession, now, large)
         now = then
         if done:
             break

@@ -41,6 +41,8 @@ FILTER_BITS = (20, 28)
 HUB_CHUNK, TILE_ROWS, TILE_SHINGLES = 64, 512, 1_000_000
 #: Up to so many ids of copies are broadcast, 8 bytes each; beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts that a task shingles at a time.
+ROWS_AT_ONCE = 500
 GONE = "near_duplicate_of_"
 
 
@@ -147,7 +149,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
         def batch(columns: dict, size: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c or [None] * size, f.type) for f in types], schema=types)
 
-        for b in batches:
+        for b in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             n, node, bits, hashes = [], [], [], []
             for t in b["text"].to_pylist():
                 h = shingle_set(t, k)
