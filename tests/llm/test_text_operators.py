@@ -1,6 +1,7 @@
 """Operators on texts against brute-force versions, with the edge cases that their docstrings define."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -157,6 +158,60 @@ def test_terms_that_reveal(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
+def brute_terms(texts, min_texts=3):
+    """For each text the spans (kind, start, end) of its revealing terms, from plain counts of documents."""
+    def part(kind, value):
+        digits = re.sub("[^0-9]", "", value)
+        return {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+
+    own, held, occurs, both = [], defaultdict(list), defaultdict(int), defaultdict(list)
+    for i, text in enumerate(texts):
+        text = text or ""
+        found = [(k, text[a:b].lower(), a, b) for k, a, b in entities(text)]
+        values = {v for _, v, _, _ in found} | {f"{k} of {part(k, v)}" for k, v, _, _ in found}
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", text)]
+        own.append((values, words, found))
+        for v in values:
+            held[v].append(i)
+        for w in {w for w, _, _ in words}:
+            occurs[w] += 1
+            for v in values:
+                both[v, w].append(i)
+    weights, n, out = {}, len(texts), []
+    for (v, w), rows in both.items():
+        if len({texts[i] for i in rows}) >= min_texts and len(held[v]) < n:
+            weights[v, w] = math.log2(len(rows) * n / (len(held[v]) * occurs[w])) / math.log2(n / len(held[v]))
+    for values, words, found in own:
+        spans = []
+        for w, a, b in words:
+            disclosure = max((weights.get((v, w), 0.0) for v in values), default=0.0)
+            if disclosure >= 0.6 and not any(c < b and d > a for _, _, c, d in found):
+                spans.append(("remove" if disclosure >= 0.9 else "generalise", a, b))
+        out.append(sorted(spans))
+    return out
+
+
+def test_terms_brute_force(spark):
+    draw = random.Random(4)
+    names, common_words = [f"{x}name" for x in "abcdefghij"], [f"word{x}" for x in "abcdefghijklmnopqrst"]
+    rows = []
+    for i in range(300):
+        words = [draw.choice(common_words) for _ in range(20)]
+        if i % 3 == 0:
+            who = draw.randrange(10)
+            # The first of the names goes with one domain alone.
+            words[draw.randrange(20)] = f"u{draw.randrange(3)}@site0.org" if who == 0 else draw.choice([f"u{draw.randrange(3)}@site{who}.org", f"10.{who}.0.{draw.randrange(4)}", f"+1 555 00{who} 12{draw.randrange(10, 99)}"])
+            for _ in range(draw.choice([0, 1, 3])):
+                words[draw.randrange(20)] = names[who].title()
+        elif i % 10 == 0:
+            words[3] = draw.choice(names[1:])
+        rows.append((i, " ".join(words), "s"))
+    rows += [(1000 + i, rows[0][1], "s") for i in range(5)]
+    want = brute_terms([t for _, t, _ in rows])
+    got = {r.doc_id: [(t.kind, t.start, t.end) for t in r.terms] for r in pii.find_pii(table(spark, rows)).collect()}
+    assert [got[i] for i, _, _ in rows] == want and {k for w in want for k, _, _ in w} == {"remove", "generalise"}
+
+
 def test_sanitise_overlapping_entities(spark):
     texts = ["Call +1 555 123 4567john@x.com now", "4111 1111 1111 1111@x.com", "mail 4111111111111111@x.com now", "+1 555 123 4567.1.2.3 end"]
     safe = {r.doc_id: r.text for r in pii.sanitise(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
@@ -342,16 +397,3 @@ def test_poisson_mix_edges(spark):
     rates = spark.createDataFrame([("k", 900.0)], "key string, rate double")
     cdf = mixing.poisson_tables(rates).first().cdf
     assert cdf[-1] == pytest.approx(1, abs=1e-9) and cdf[900] == pytest.approx(0.5, abs=0.02)
-
-
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert {"doc_id", "text", "copy_id", "shuffle_key"} <= set(out.columns) and 0 < out.count() < 2 * docs.count()
-    empty = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, empty, sf_dir).columns == docs.columns
-    mixed = dict(out.select("doc_id", "text").collect())
-    assert not any(F and entities(t) for t in mixed.values())
