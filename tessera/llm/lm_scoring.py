@@ -2,7 +2,8 @@
 
 The vocabulary is every word of the whole corpus. Word and bigram counts cover every document. Each token's loss under either model is
 the negative logarithm of its smoothed probability after the preceding token, and a document's score is the mean difference of the
-losses, target less background: the lower, the more like the target.
+losses, target less background: the lower, the more like the target. A document's own counts are left out of both models when it is
+scored, so that neither knows its texts by heart.
 
 The counts grow with the corpus and are never gathered in one place. Documents are dealt into chunks of bounded size; each chunk counts
 its own words and bigrams, named by 63-bit hashes, and sends the counts to buckets, ranges of hashes. A bucket sums the counts of all
@@ -73,16 +74,23 @@ class Counts:
         names[len(h) : 2 * len(h)] |= np.uint64(1)
         self.names, places = np.unique(names, return_inverse=True)
         self.bigrams, self.words, self.contexts = places.reshape(3, -1)
+        self.target = target
         of_target = places[np.tile(np.repeat(target, self.lengths), 3)]
         n = np.bincount(of_target, minlength=len(self.names))
         self.n = np.array([n, np.bincount(places, minlength=len(self.names)) - n])
 
     def losses(self, totals: tuple[int, int], size: int, prior: float) -> np.ndarray:
-        """For target and background, each text's mean loss of its tokens, 0 without any."""
+        """For target and background, each text's mean loss of its tokens, 0 without any. A text's own counts are left out of its side's."""
         of, out = np.repeat(np.arange(len(self.lengths)), self.lengths), []
-        for n, total in zip(self.n, totals, strict=True):
-            unigram = (n[self.words] + 0.5) / (total + 0.5 * size)
-            loss = -np.log((n[self.bigrams] + prior * unigram) / (n[self.contexts] + prior))
+        own = []
+        for places in (self.bigrams, self.words, self.contexts):
+            _, at, times = np.unique(of * len(self.names) + places, return_inverse=True, return_counts=True)
+            own.append(times[at])
+        for side, (n, total) in enumerate(zip(self.n, totals, strict=True)):
+            mine = self.target[of] == (side == 0)
+            bigrams, words, contexts = (n[places] - x * mine for places, x in zip((self.bigrams, self.words, self.contexts), own, strict=True))
+            unigram = (words + 0.5) / (total - self.lengths[of] * mine + 0.5 * size)
+            loss = -np.log((bigrams + prior * unigram) / (contexts + prior))
             out.append(np.bincount(of, loss, minlength=len(self.lengths)) / np.maximum(self.lengths, 1))
         return np.array(out)
 
