@@ -72,6 +72,11 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], least: int = 10_0
     return of_hot.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """rows joined to a written `table` of distinct keys, which is broadcast if it has at most `most` rows."""
+    return rows.join(F.broadcast(table), keys) if table.count() <= most else joined(rows, table, keys)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes what saved() wrote for `frames`, once nothing reads it any more."""
     context = spark.sparkContext

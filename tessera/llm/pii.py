@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, fresh, saved, small
+from tessera.llm.common import col, fresh, looked_up, saved, small
 
 # Possessive quantifiers and look-behinds keep the leftmost matches of the plain patterns, in time linear in the text and without recursion.
 # Card numbers: only runs of digits of a valid length are taken; others could not pass.
@@ -122,8 +122,8 @@ def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, re
     values = F.array_distinct(F.concat(F.transform("entities", lambda e: F.lower(e["value"])), F.transform("entities", part_of)))
     holding = found.filter(F.size("entities") > 0).select("id", "key", "text", F.explode(values).alias("entity"))
     # A value in fewer texts than a term needs has no revealing term; it is left out before its documents' words are paired with it.
-    holders = small(saved(holding.groupBy("entity").agg(F.count("*").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "m"), "holders"), BROADCAST_ROWS)
-    near = holding.join(holders, "entity").select("id", "key", "entity", "m", F.explode(terms_of(F.col("text"))).alias("term"))
+    holders = saved(holding.groupBy("entity").agg(F.count("*").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "m"), "holders")
+    near = looked_up(holding, holders, ["entity"], BROADCAST_ROWS).select("id", "key", "entity", "m", F.explode(terms_of(F.col("text"))).alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts)
     pairs = saved(pairs, "pairs")
     terms = small(saved(pairs.select("term").distinct(), "terms"), BROADCAST_ROWS)
@@ -131,8 +131,8 @@ def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, re
     words = docs.select(F.explode(terms_of(col(text_col).cast("string"))).alias("term"))
     documents = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("d"))
     weight = F.log2(F.col("k") * float(n) / (F.col("m") * F.greatest("d", "k"))) / F.log2(float(n) / F.col("m"))
-    revealing = small(saved(pairs.join(documents, "term").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing"), BROADCAST_ROWS)
-    flagged = near.join(revealing, ["entity", "term"]).groupBy("id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
+    revealing = saved(pairs.join(documents, "term").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing")
+    flagged = looked_up(near, revealing, ["entity", "term"], BROADCAST_ROWS).groupBy("id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
     by_row = saved(flagged.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("flags")), "flags")
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
     told = found.filter(F.size("entities") > 0).join(by_row, same).withColumn("hits", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("pairs", gaps_and_hits(F.col("text"), F.col("hits"), TERM))

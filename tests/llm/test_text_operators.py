@@ -278,6 +278,36 @@ def test_decontamination_looks_at_every_start():
         assert sorted(benchmark.matches(b" ".join(w).decode())) == sorted(wanted.values())
 
 
+def test_decontamination_recall_of_edited_passages():
+    """Passages with replaced, dropped, inserted and swapped words: of those with a window of similarity 0.8, at least 0.98 are found."""
+    draw = random.Random(11)
+    words = [f"{draw.choice('bcdfgklmnprst')}{draw.choice('aeiou')}{i}" for i in range(3000)]
+    items = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([12, 25, 40, 80])))) for i in range(60)]
+    benchmark, similar, found = decontaminate.Benchmark(items, 5, 20, 0.8), 0, 0
+    for _ in range(300):
+        i, item = draw.choice(items)
+        part = item.split()
+        own, n = decontaminate.weighted(decontaminate.words(item), 5), len(part)
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            at = draw.randrange(len(part))
+            kind = draw.randrange(4)
+            part[at : at + (kind > 0)] = [[draw.choice(words)], [draw.choice(words)], [], part[at : at + 1]][kind]
+        if draw.random() < 0.2:
+            part = part[n // 2 :] + part[: n // 2]
+        w = [*(draw.choice(words) for _ in range(30)), *part, *(draw.choice(words) for _ in range(30))]
+        best = max(decontaminate.similarity(decontaminate.weighted([x.encode() for x in w[p : p + n]], 5), own) for p in range(len(w) - n + 1))
+        similar += best >= 0.8
+        found += best >= 0.8 and any(m[0] == i and m[4] == best for m in benchmark.matches(" ".join(w)))
+    assert similar > 60 and found >= 0.98 * similar
+
+
+def test_decontamination_ids_of_any_size(spark):
+    passage = " ".join(f"item{i}" for i in range(20))
+    docs = table(spark, [(2**60 + 1, passage, "s"), (None, passage, "s"), (2**60 + 3, "x " + passage, "s")])
+    found = decontaminate.find_contamination(docs, spark.createDataFrame([(2**61 + 1, passage), (None, "")], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.item_id) for r in found.collect()), key=str) == sorted([(2**60 + 1, 2**61 + 1), (None, 2**61 + 1), (2**60 + 3, 2**61 + 1)], key=str)
+
+
 def test_hamming_index_finds_all():
     draw = random.Random(5)
     prints = [draw.getrandbits(64) for _ in range(300)]
