@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, fresh, looked_up, saved, small
+from tessera.llm.common import col, fresh, looked_up, saved
 
 # Possessive quantifiers and look-behinds keep the leftmost matches of the plain patterns, in time linear in the text and without recursion.
 # Card numbers: only runs of digits of a valid length are taken; others could not pass.
@@ -126,10 +126,12 @@ def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, re
     near = looked_up(holding, holders, ["entity"], BROADCAST_ROWS).select("id", "key", "entity", "m", F.explode(terms_of(F.col("text"))).alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts)
     pairs = saved(pairs, "pairs")
-    terms = small(saved(pairs.select("term").distinct(), "terms"), BROADCAST_ROWS)
+    terms = saved(pairs.select("term").distinct(), "terms")
     # Terms are whole runs of letters here too, so that d counts at least the documents that k counts.
     words = docs.select(F.explode(terms_of(col(text_col).cast("string"))).alias("term"))
-    documents = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("d"))
+    if terms.count() <= BROADCAST_ROWS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+    documents = words.groupBy("term").agg(F.count("*").alias("d"))  # joined to the pairs below, after it is summed
     weight = F.log2(F.col("k") * float(n) / (F.col("m") * F.greatest("d", "k"))) / F.log2(float(n) / F.col("m"))
     revealing = saved(pairs.join(documents, "term").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing")
     flagged = looked_up(near, revealing, ["entity", "term"], BROADCAST_ROWS).groupBy("id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
