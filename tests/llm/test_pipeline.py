@@ -18,6 +18,8 @@ def holds(text, items):
     """Whether any item-sized window of the text has the weighted similarity of any item."""
     w = decontaminate.words(text)
     for own, n, size in items:
+        if len(w) < size or not own.keys() & decontaminate.weighted(w, size).keys():
+            continue  # no window shares a shingle
         for p in range(max(1, len(w) - n + 1)):
             part = w[p : p + n]
             if len(part) >= size and decontaminate.similarity(decontaminate.weighted(part, size), own) >= 0.8:

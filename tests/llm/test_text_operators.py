@@ -228,12 +228,12 @@ def test_op9_digest(spark, sf_dir):
 def test_decontamination_brute_force(spark, sf_dir):
     items = dict(spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect())
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
-    wanted = set()
+    words, wanted = {d: decontaminate.words(t) for d, t in texts.items()}, set()
+    shingles = {d: decontaminate.weighted(w, 5) if len(w) >= 5 else {} for d, w in words.items()}
     for i, item in items.items():
         n, own = len(item.split()), decontaminate.weighted(decontaminate.words(item), 5)
-        for d, t in texts.items():
-            w = decontaminate.words(t)
-            if any(decontaminate.similarity(decontaminate.weighted(w[p : p + n], 5), own) >= 0.8 for p in range(max(1, len(w) - n + 1)) if len(w[p : p + n]) >= 5 and set(w[p : p + n]) & set(decontaminate.words(item))):
+        for d, w in words.items():  # texts that share no shingle have no window that does
+            if own.keys() & shingles[d].keys() and any(decontaminate.similarity(decontaminate.weighted(w[p : p + n], 5), own) >= 0.8 for p in range(max(1, len(w) - n + 1)) if len(w[p : p + n]) >= 5):
                 wanted.add((d, i))
     assert {(r.doc_id, r.item_id) for r in queries.op5_decontamination(spark, sf_dir).collect()} == wanted
 
@@ -284,7 +284,7 @@ def test_decontamination_recall_of_edited_passages():
     words = [f"{draw.choice('bcdfgklmnprst')}{draw.choice('aeiou')}{i}" for i in range(3000)]
     items = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([12, 25, 40, 80])))) for i in range(60)]
     benchmark, similar, found = decontaminate.Benchmark(items, 5, 20, 0.8), 0, 0
-    for _ in range(300):
+    for _ in range(120):
         i, item = draw.choice(items)
         part = item.split()
         own, n = decontaminate.weighted(decontaminate.words(item), 5), len(part)
@@ -298,7 +298,7 @@ def test_decontamination_recall_of_edited_passages():
         best = max(decontaminate.similarity(decontaminate.weighted([x.encode() for x in w[p : p + n]], 5), own) for p in range(len(w) - n + 1))
         similar += best >= 0.8
         found += best >= 0.8 and any(m[0] == i and m[4] == best for m in benchmark.matches(" ".join(w)))
-    assert similar > 60 and found >= 0.98 * similar
+    assert similar > 30 and found >= 0.98 * similar
 
 
 def test_decontamination_ids_of_any_size(spark):
