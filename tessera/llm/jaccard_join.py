@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import col, dropped, joined, saved, small
+from tessera.llm.common import arrow_batches, col, dropped, joined, saved, small
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import shingle_set
 
@@ -41,8 +41,8 @@ FILTER_BITS = (20, 28)
 HUB_CHUNK, TILE_ROWS, TILE_SHINGLES = 64, 512, 1_000_000
 #: Up to so many ids of copies are broadcast, 8 bytes each; beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Texts that a task shingles at a time.
-ROWS_AT_ONCE = 500
+#: Texts or arrays that a task is handed at a time.
+BATCH_ROWS = 500
 GONE = "near_duplicate_of_"
 
 
@@ -149,7 +149,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
         def batch(columns: dict, size: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c or [None] * size, f.type) for f in types], schema=types)
 
-        for b in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
+        for b in batches:
             n, node, bits, hashes = [], [], [], []
             for t in b["text"].to_pylist():
                 h = shingle_set(t, k)
@@ -404,8 +404,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     than k words are one shingle; rows with equal sets, repeated rows too, link; a null id is no candidate for component_id, so a
     component of null ids alone has a null one; whole texts count, however long; an empty table gives an empty table; other columns are ignored.
     """
-    spark = docs.sparkSession
-    made = saved(shingle_sets(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), k), "sets")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), k).toDF(id_col, "n_shingles", "component_id", "n_links")
+
+
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """Of (id, text): id, n, component and links, written to the shared folder."""
+    spark = rows.sparkSession
+    made = saved(shingle_sets(rows, k), "sets")
     sets = made.filter("n > 0")
     scale = scaled(_merged(made.filter("part is not null").select("part", "chunk", "counts")))
     nodes = saved(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"), F.min("id").alias("least")), "nodes")
@@ -436,7 +442,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     others = nodes.join(members.select("node"), "node", "left_anti").select("node", F.col("least").alias("component"), (F.col("rows") - 1).alias("links"))
     named = saved(of_members.unionByName(others), "named")
     result = joined(sets.select("id", "n", "node"), named, ["node"]).select("id", "n", "component", "links").unionAll(made.filter("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
-    out = saved(result.toDF(id_col, "n_shingles", "component_id", "n_links"), "classes")
+    out = saved(result.toDF("id", "n", "component", "links"), "classes")
     dropped(spark, made, nodes, links, more, members, named)
     return out
 

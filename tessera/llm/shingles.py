@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 #: Hashes of words that a process remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 # Odd multipliers without a simple relation, one for each place in a shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(64)], dtype=np.uint64)
 
