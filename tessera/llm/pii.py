@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, fresh, looked_up, saved
+from tessera.llm.common import col, dropped, fresh, joined, looked_up, saved
 
 # Possessive quantifiers and look-behinds keep the leftmost matches of the plain patterns, in time linear in the text and without recursion.
 # Card numbers: only runs of digits of a valid length are taken; others could not pass.
@@ -120,11 +120,15 @@ def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, re
     found = saved(everything.select("id", "key", "entities", F.when(F.size("entities") > 0, F.col("text")).alias("text")), "entities")
     n = found.count()
     values = F.array_distinct(F.concat(F.transform("entities", lambda e: F.lower(e["value"])), F.transform("entities", part_of)))
-    holding = found.filter(F.size("entities") > 0).select("id", "key", "text", F.explode(values).alias("entity"))
+    # Rows of one text are counted together, and its words are looked at once.
+    texts = saved(found.filter(F.size("entities") > 0).groupBy("key").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("copies")), "texts")
+    holding = texts.select("key", "copies", F.explode(values).alias("entity"))
     # A value in fewer texts than a term needs has no revealing term; it is left out before its documents' words are paired with it.
-    holders = saved(holding.groupBy("entity").agg(F.count("*").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "m"), "holders")
-    near = looked_up(holding, holders, ["entity"], BROADCAST_ROWS).select("id", "key", "entity", "m", F.explode(terms_of(F.col("text"))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("k"), F.first("m").alias("m"), F.count_distinct("key").alias("texts")).filter(F.col("texts") >= min_texts)
+    holders = saved(holding.groupBy("entity").agg(F.sum("copies").alias("m"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("entity", "m"), "holders")
+    held = looked_up(holding, holders, ["entity"], BROADCAST_ROWS).groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("entity", "m")).alias("held"))
+    words = texts.join(held, F.col("key") == F.col("of")).select("key", "copies", "held", F.explode(terms_of(F.col("text"))).alias("term"))
+    near = words.select("key", "copies", "term", F.explode("held").alias("h")).select("key", "copies", "term", "h.entity", "h.m")
+    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("k"), F.first("m").alias("m"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts)
     pairs = saved(pairs, "pairs")
     terms = saved(pairs.select("term").distinct(), "terms")
     # Terms are whole runs of letters here too, so that d counts at least the documents that k counts.
@@ -134,16 +138,21 @@ def find_pii(docs: DataFrame, min_texts: int = 3, generalise_at: float = 0.6, re
     documents = words.groupBy("term").agg(F.count("*").alias("d"))  # joined to the pairs below, after it is summed
     weight = F.log2(F.col("k") * float(n) / (F.col("m") * F.greatest("d", "k"))) / F.log2(float(n) / F.col("m"))
     revealing = saved(pairs.join(documents, "term").select("entity", "term", weight.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "revealing")
-    flagged = looked_up(near, revealing, ["entity", "term"], BROADCAST_ROWS).groupBy("id", "key", "term").agg(F.max("disclosure").alias("disclosure"))
-    by_row = saved(flagged.groupBy(F.col("id").alias("of"), F.col("key").alias("of_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("flags")), "flags")
-    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
-    told = found.filter(F.size("entities") > 0).join(by_row, same).withColumn("hits", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("pairs", gaps_and_hits(F.col("text"), F.col("hits"), TERM))
+    flagged = looked_up(near, revealing, ["entity", "term"], BROADCAST_ROWS).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    flags = flagged.groupBy(F.col("key").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("flags"))
+    told = texts.join(flags, F.col("key") == F.col("of")).withColumn("hits", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("pairs", gaps_and_hits(F.col("text"), F.col("hits"), TERM))
     spans = F.filter(placed(F.col("pairs"), "term"), lambda t: F.element_at("flags", F.lower(t["value"])).isNotNull() & ~F.exists("entities", lambda e: (e["start"] < t["end"]) & (e["end"] > t["start"])))
     kind = lambda t: F.when(F.element_at("flags", F.lower(t["value"])) >= remove_at, REMOVE).otherwise(GENERALISE)
     marked = F.transform(spans, lambda t: F.struct(kind(t).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
-    own = told.select("of", "of_key", F.sort_array(marked).alias("terms")).dropDuplicates(["of", "of_key"])
-    out = found.drop("text").join(own, same, "left")
-    return out.select(F.col("id").alias(id_col), "key", "entities", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
+    own = saved(told.select("key", F.sort_array(marked).alias("terms")), "told")
+    dropped(docs.sparkSession, texts, holders, pairs, terms, revealing)
+    out = found.drop("text")
+    if own.count() <= BROADCAST_ROWS:
+        with_terms = out.join(F.broadcast(own), "key", "left")
+    else:  # rows without a flagged term, nearly all, need no join; those with one may be copies of one text
+        told_keys = own.select("key")
+        with_terms = joined(out.join(told_keys, "key", "left_semi"), own, ["key"]).unionByName(out.join(told_keys, "key", "left_anti").withColumn("terms", F.lit(None).cast(SPAN)))
+    return with_terms.select(F.col("id").alias(id_col), "key", "entities", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
