@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,16 +48,38 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def same_again(df: DataFrame) -> bool:
+    """Whether `df` is made of files by columns and filters of rows alone, so that it has the same rows whenever it is read, at little cost."""
+
+    def plain(node) -> bool:
+        name, below = node.nodeName(), node.children()
+        if name == "LogicalRelation":
+            return node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+        return name in ("Project", "Filter") and all(plain(below.apply(i)) for i in range(below.size()))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.deterministic() and plain(plan)
+
+
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, at most so many rows go to a Python worker at a time, for what is written there: whole texts and arrays can be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, the session has that setting, for what is written there."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def arrow_batches(spark: SparkSession, rows: int) -> AbstractContextManager[None]:
+    """At most so many rows go to a Python worker at a time: whole texts and arrays can be large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def shuffles_deleted(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files are deleted at the end of each query, not when the driver happens to collect its garbage: what saved() wrote is read instead."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

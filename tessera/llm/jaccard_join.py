@@ -1,8 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, their components and links.
 
-1. Texts are shingled once; the sorted arrays are written. Documents with equal sets are one node. A sketch of fixed size counts all
-   shingles, so that each node's shingles can be put in one order, rare before frequent. Two sets that link share one of the first
-   shingles (their prefixes) in that order, whatever the order is: the sketch decides nothing but the size of groups.
+1. Texts are shingled twice. The first time names and measures the sets: documents with equal sets are one node, and a sketch of fixed
+   size counts all shingles, so that each node's shingles can be put in one order, rare before frequent. The second time sends each
+   set's first shingles (its prefix) in that order. Two sets that link share one of these, whatever the order is: the sketch decides
+   nothing but the size of groups. The sorted arrays, larger than the texts, are not kept: steps 2 to 4 shingle the few texts again
+   whose sets they compare, one a node, found by a hash of the text.
 2. Nodes that share a prefix shingle are a group. Every node is compared with two members of each of its groups, which costs little
    and joins nearly all that belongs together; components of those links follow.
 3. Groups with the same least member are taken as one, so that nodes that share many shingles meet once. Where such a group still holds
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import arrow_batches, col, dropped, joined, saved, small
+from tessera.llm.common import arrow_batches, col, dropped, joined, same_again, saved, shuffles_deleted, small
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import shingle_set
 
@@ -35,7 +37,7 @@ from tessera.llm.shingles import shingle_set
 SLOT_BITS, CHUNKS = 22, 64
 #: Nodes of a token that the sketch shows as hot are dealt into parts of so many; steps of the sketch's scale in a doubling.
 SALT_ROWS, STEPS = 20_000, 8
-#: Bits of the filter of nodes: 64 a node, within these powers of two.
+#: Bits of the filter of texts: 64 a text, within these powers of two.
 FILTER_BITS = (20, 28)
 #: Members that one hub is compared with in a task; rows and shingles of a tile's block.
 HUB_CHUNK, TILE_ROWS, TILE_SHINGLES = 64, 512, 1_000_000
@@ -140,8 +142,8 @@ def scaled(sketch: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
-    """Of (id, text): for each row id, n, node, bits (the signature) and hashes (the packed array); besides, rows of the sketch's counts (part, chunk, counts)."""
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, t) for c, t in (("n", T.LongType()), ("node", T.LongType()), ("bits", T.BinaryType()), ("hashes", T.BinaryType()), ("part", T.LongType()), ("chunk", T.IntegerType()), ("counts", T.BinaryType())))])
+    """Of (id, text, code): for each row id, code, n, node and bits (the signature); besides, rows of the sketch's counts (part, chunk, counts)."""
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, t) for c, t in (("code", T.LongType()), ("n", T.LongType()), ("node", T.LongType()), ("bits", T.BinaryType()), ("part", T.LongType()), ("chunk", T.IntegerType()), ("counts", T.BinaryType())))])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, counts = to_arrow_schema(schema), np.zeros(1 << SLOT_BITS, dtype=np.uint32)
@@ -150,7 +152,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c or [None] * size, f.type) for f in types], schema=types)
 
         for b in batches:
-            n, node, bits, hashes = [], [], [], []
+            n, node, bits = [], [], []
             for t in b["text"].to_pylist():
                 h = shingle_set(t, k)
                 if some := len(h) > 0:
@@ -158,8 +160,7 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
                 n.append(len(h))
                 node.append(node_of(h) if some else None)
                 bits.append(signature(h) if some else None)
-                hashes.append(packed(h) if some else None)
-            yield batch({"id": b["id"], "n": n, "node": node, "bits": bits, "hashes": hashes}, len(n))
+            yield batch({"id": b["id"], "code": b["code"], "n": n, "node": node, "bits": bits}, len(n))
         chunks = counts.reshape(CHUNKS, -1)
         some = [i for i in range(CHUNKS) if chunks[i].any()]
         if some:
@@ -168,32 +169,45 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(made, schema)
 
 
-def prefixes(sets: DataFrame, scale: np.ndarray) -> DataFrame:
-    """Of (node, hashes): a row (token, salt, node) for each shingle of each distinct set's prefix, once for each task that meets the set.
+def unmet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """For each batch of (text, code): node and sorted shingles of the sets that the task has not met before. Copies of a text are not shingled."""
+    codes, nodes = set(), set()
+    for b in batches:
+        out = []
+        for code, text in zip(b["code"].to_pylist(), b["text"], strict=True):
+            if code not in codes:
+                codes.add(code)
+                h = shingle_set(text.as_py(), k)
+                if len(h) and (node := node_of(h)) not in nodes:
+                    nodes.add(node)
+                    out.append((node, h))
+        yield out
+
+
+def prefixes(rows: DataFrame, scale: np.ndarray, k: int) -> DataFrame:
+    """Of (text, code): a row (token, salt, node) for each shingle of each distinct set's prefix, once for each task that meets the set.
 
     salt: the part of the token's nodes that the node is dealt to if the sketch shows the token as hot, else -1.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(scale)  # 2 ** SLOT_BITS bytes
+    sent = rows.sparkSession.sparkContext.broadcast(scale)  # 2 ** SLOT_BITS bytes
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale, seen = sent.value, set()
-        for b in batches:
+        scale = sent.value
+        for sets in unmet(batches, k):
             tokens, nodes = [np.empty(0, dtype=np.uint64)], []
-            for node, hashes in zip(b["node"].to_pylist(), b["hashes"], strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    h = unpacked(hashes.as_buffer()) >> np.uint64(16)
-                    order = ((scale[(h >> np.uint64(48 - SLOT_BITS)).astype(np.int64)] // STEPS).astype(np.uint64) << np.uint64(48)) | h
-                    p = prefix_length(len(h))
-                    tokens.append(np.partition(order, p - 1)[:p] & np.uint64((1 << 48) - 1))
-                    nodes.append(node)
+            for node, h in sets:
+                h = h >> np.uint64(16)
+                order = ((scale[(h >> np.uint64(48 - SLOT_BITS)).astype(np.int64)] // STEPS).astype(np.uint64) << np.uint64(48)) | h
+                p = prefix_length(len(h))
+                tokens.append(np.partition(order, p - 1)[:p] & np.uint64((1 << 48) - 1))
+                nodes.append(node)
             node = np.repeat(np.array(nodes, dtype=np.int64), [len(t) for t in tokens[1:]])
             token = np.concatenate(tokens)
             parts = np.ceil(2.0 ** (scale[(token >> np.uint64(48 - SLOT_BITS)).astype(np.int64)] / STEPS) / SALT_ROWS).astype(np.int64)
             salt = np.where(parts > 1, np.abs(node >> 1) % parts, -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(salt), pa.array(node)], names=["token", "salt", "node"])
 
-    return sets.select("node", "hashes").mapInArrow(made, "token long, salt int, node long")
+    return rows.select("text", "code").mapInArrow(made, "token long, salt int, node long")
 
 
 def sharing(postings: DataFrame, hot: bool) -> DataFrame:
@@ -210,26 +224,27 @@ def sharing(postings: DataFrame, hot: bool) -> DataFrame:
     return out
 
 
-def sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and packed array of the sets that `nodes` (node) has, and of few others, once for each task that meets them."""
+def sets_of(rows: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """Of (text, code): node and packed array of the sets of the texts that `codes` (code) names, and of few others, once for each task that meets them."""
     least, most = FILTER_BITS
-    bits = min(most, max(least, (64 * nodes.count()).bit_length()))
-    slot = F.col("node").bitwiseAND(F.lit((1 << bits) - 1)) + 1
-    parts = nodes.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect()
-    wanted = np.zeros((1 << bits) // 8, dtype=np.uint8)  # a bit for each slot, set by the bucket
+    bits = min(most, max(least, (64 * codes.count()).bit_length()))
+    slot = F.col("code").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = codes.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect()
+    filled = np.zeros((1 << bits) // 8, dtype=np.uint8)  # a bit for each slot, set by the bucket
     for r in parts:
-        wanted[(r.i - 1) * 4096 : r.i * 4096] = np.frombuffer(bytes(r.b), dtype=np.uint8)
-    sent = sets.sparkSession.sparkContext.broadcast(wanted)  # 2 ** FILTER_BITS / 8 bytes at most
+        filled[(r.i - 1) * 4096 : r.i * 4096] = np.frombuffer(bytes(r.b), dtype=np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(filled)  # 2 ** FILTER_BITS / 8 bytes at most
+
+    @F.pandas_udf("boolean")
+    def wanted(code: pd.Series) -> pd.Series:
+        at = code.to_numpy() & ((1 << bits) - 1)
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = sent.value, set()
-        for b in batches:
-            at = b["node"].to_numpy() & ((1 << bits) - 1)
-            own = np.flatnonzero(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            own = [i for i, node in zip(own.tolist(), b["node"].take(pa.array(own)).to_pylist(), strict=True) if not (node in seen or seen.add(node))]
-            yield b.take(pa.array(own, pa.int64()))
+        for sets in unmet(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.array([packed(h) for _, h in sets], pa.binary())], names=["node", "hashes"])
 
-    return sets.select("node", "hashes").mapInArrow(made, "node long, hashes binary")
+    return rows.select("text", "code").filter(wanted("code")).mapInArrow(made, "node long, hashes binary")
 
 
 def streamed(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
@@ -290,15 +305,16 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b), a written frame, that link, by the exact intersection of their sets.
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Those of the distinct pairs (a, b), a written frame, that link, by the exact intersection of their sets; nodes: node and code; rows: text and code.
 
     a is a hub: its array meets the arrays of HUB_CHUNK partners at a time, so that no task needs all partners of a hub.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("c"))
     dealt = saved(joined(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / HUB_CHUNK)).alias("chunk")), "pairs")
     both = dealt.select(F.col("a").alias("node")).union(dealt.select(F.col("b").alias("node"))).distinct()
-    arrays = saved(sets_of(sets, both).dropDuplicates(["node"]), "arrays")
+    codes = saved(nodes.join(both, "node", "left_semi").select("code"), "codes")
+    arrays = saved(sets_of(rows, codes, k).dropDuplicates(["node"]), "arrays")
     wanted = dealt.select(F.col("b").alias("node"), "a", "chunk", F.lit(1).alias("member")).union(dealt.select(F.col("a").alias("node"), "a", "chunk", F.lit(0).alias("member")).distinct())
 
     def decided(g: pd.DataFrame) -> Iterable[tuple]:
@@ -311,7 +327,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield (a, node)
 
     out = saved(grouped(joined(wanted, arrays, ["node"]), ["a", "chunk"], ["member"], decided, "a long, b long"), "links")
-    dropped(pairs.sparkSession, dealt, arrays)
+    dropped(pairs.sparkSession, dealt, codes, arrays)
     return out
 
 
@@ -398,29 +414,32 @@ def jaccard_classes(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     """For each row of `docs`: its id, n_shingles (the size of its set), component_id (the least id reachable by links, its own included)
     and n_links (the number of other rows that it links with).
 
-    The id must be an integer column. The result is written to the shared folder.
+    The id must be an integer column. The result is written to the shared folder. `docs` is read several times; unless it is made of
+    files by plain columns and filters, its ids and texts are written first, so that each reading finds the same.
 
     Edge cases: null and empty texts, and texts without words, have an empty set, link with nothing and are their own component; fewer
     than k words are one shingle; rows with equal sets, repeated rows too, link; a null id is no candidate for component_id, so a
     component of null ids alone has a null one; whole texts count, however long; an empty table gives an empty table; other columns are ignored.
     """
-    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+    with arrow_batches(docs.sparkSession, BATCH_ROWS), shuffles_deleted(docs.sparkSession):
         return _classes(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), k).toDF(id_col, "n_shingles", "component_id", "n_links")
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
     """Of (id, text): id, n, component and links, written to the shared folder."""
     spark = rows.sparkSession
+    texts = None if same_again(rows) else saved(rows, "texts")
+    rows = (texts or rows).withColumn("code", F.xxhash64("text"))
     made = saved(shingle_sets(rows, k), "sets")
     sets = made.filter("n > 0")
     scale = scaled(_merged(made.filter("part is not null").select("part", "chunk", "counts")))
-    nodes = saved(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"), F.min("id").alias("least")), "nodes")
+    nodes = saved(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("code").alias("code"), F.count("*").alias("rows"), F.min("id").alias("least")), "nodes")
 
-    groups = saved(sharing(prefixes(sets, scale), 2.0 ** (int(scale.max()) / STEPS) > SALT_ROWS), "groups")
+    groups = saved(sharing(prefixes(rows, scale, k), 2.0 ** (int(scale.max()) / STEPS) > SALT_ROWS), "groups")
     hubs = saved(groups.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct(), "hubs")
     tried = bounded(hubs, nodes)
     dropped(spark, hubs)
-    links = verified(tried, sets)
+    links = verified(tried, nodes, rows, k)
 
     labels = saved(connected_components(links), "labels")
     left = saved(groups.select(F.col("low").alias("token"), "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "left")
@@ -431,12 +450,12 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     more = saved(more, "more")
     dropped(spark, left, several, tried)
     if not more.isEmpty():
-        labels = saved(connected_components(links.union(verified(more, sets))), "labels")
+        labels = saved(connected_components(links.union(verified(more, nodes, rows, k))), "labels")
 
     # Copies and components, by node: rows come in last, so that no group of copies is gathered.
-    members = saved(nodes.join(labels, "node").select("node", "label", "n", "rows", "least"), "members")
-    arrays = sets_of(sets, members.select("node")).dropDuplicates(["node"])
-    counts = link_counts(members.drop("least"), nodes.select("node", "bits"), arrays)
+    members = saved(nodes.join(labels, "node").select("node", "label", "n", "rows", "least", "code"), "members")
+    arrays = sets_of(rows, members.select("code"), k).dropDuplicates(["node"])
+    counts = link_counts(members.drop("least", "code"), nodes.select("node", "bits"), arrays)
     least = members.groupBy("label").agg(F.min("least").alias("of_label"))
     of_members = joined(members, least, ["label"]).join(counts, "node", "left").select("node", F.col("of_label").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("links"))
     others = nodes.join(members.select("node"), "node", "left_anti").select("node", F.col("least").alias("component"), (F.col("rows") - 1).alias("links"))
@@ -444,6 +463,8 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     result = joined(sets.select("id", "n", "node"), named, ["node"]).select("id", "n", "component", "links").unionAll(made.filter("n = 0").select("id", "n", "id", F.lit(0).cast("long")))
     out = saved(result.toDF("id", "n", "component", "links"), "classes")
     dropped(spark, made, nodes, links, more, members, named)
+    if texts:
+        dropped(spark, texts)
     return out
 
 

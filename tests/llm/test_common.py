@@ -1,5 +1,7 @@
 """The helpers that the operators share, and the entry module's guard."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,33 @@ def test_joined_splits_hot_keys(spark):
     assert common.joined(rows.limit(0), table, ["k"]).count() == 0
 
 
+def test_same_again(spark, tmp_path):
+    spark.range(10).selectExpr("id", "'t' AS text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    assert all(map(common.same_again, (docs, docs.select(F.upper("text").alias("t"), "id").filter("id > 3"))))
+    other = (docs.limit(3), docs.dropDuplicates(["text"]), docs.sample(0.5), docs.filter("rand() > 0.5"), docs.withColumn("text", F.udf(str)("id")), spark.range(3), docs.join(spark.range(3), "id"))
+    assert not any(map(common.same_again, other))
+
+
+def test_shuffles_deleted(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, manager = spark.conf.get(name), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        blocks = manager.getAllBlocks()
+        return {str(b) for b in (blocks.apply(i) for i in range(blocks.size())) if b.isShuffle()}
+
+    old = shuffled()
+    with common.shuffles_deleted(spark):
+        for i in range(3):
+            spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / f"{i}"))
+        until = time.time() + 20
+        while shuffled() - old and time.time() < until:
+            time.sleep(0.1)
+    assert not shuffled() - old
+    assert spark.conf.get(name) == before and spark.read.parquet(str(tmp_path / "2")).count() == 7
+
+
 def test_shared_dir_needs_a_setting_on_a_cluster():
     class Answer:
         def __getattr__(self, name):

@@ -5,6 +5,8 @@ import math
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -93,6 +95,32 @@ def test_jaccard_classes_empty_table(spark):
     assert jaccard_join.jaccard_classes(table(spark, [])).count() == 0
 
 
+def test_jaccard_classes_write_less_than_the_texts(spark, tmp_path, monkeypatch):
+    """No frame holds the arrays of all sets, which take more than the texts do; those of sets that are compared are few here."""
+    draw, written = random.Random(5), []
+    rows = [(i, " ".join(f"{draw.randrange(10**7):07}" for _ in range(400))) for i in range(1000)]
+    rows += [(2000 + i, rows[i][1] + " more") for i in range(10)]
+    table(spark, [(i, t, "s") for i, t in rows]).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    saved = common.saved
+
+    def measured(df, what):
+        out = saved(df, what)
+        written.extend((Path(urlparse(f).path).stat().st_size, what) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "saved", measured)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_classes(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    assert got == {i: (i % 2000, int(i % 2000 < 10)) for i, _ in rows}
+    assert sum(size for size, _ in written) < sum(len(t) for _, t in rows) / 2, written
+
+
+def test_jaccard_classes_of_texts_that_differ_when_read_again(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "ids"))
+    text = F.udf(lambda i: " ".join([*(f"w{j}" for j in range(100)), random.SystemRandom().randbytes(8).hex()])).asNondeterministic()
+    docs = spark.read.parquet(str(tmp_path / "ids")).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    assert {(r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_classes(docs).collect()} == {(97, 0, 19)}
+
+
 def test_drop_near_duplicates(spark):
     long = " ".join(f"w{i}" for i in range(100))
     docs = table(spark, [(1, long, "a"), (2, long + " more", "b"), (3, "other words", "a"), (3, "other words", "a"), (4, "", "a"), (5, None, "a"), (None, long, "a")])
