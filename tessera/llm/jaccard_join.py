@@ -235,16 +235,17 @@ def sets_of(rows: DataFrame, codes: DataFrame, k: int) -> DataFrame:
         filled[(r.i - 1) * 4096 : r.i * 4096] = np.frombuffer(bytes(r.b), dtype=np.uint8)
     sent = rows.sparkSession.sparkContext.broadcast(filled)  # 2 ** FILTER_BITS / 8 bytes at most
 
-    @F.pandas_udf("boolean")
-    def wanted(code: pd.Series) -> pd.Series:
-        at = code.to_numpy() & ((1 << bits) - 1)
-        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b["code"].to_numpy() & ((1 << bits) - 1)
+            yield b.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets in unmet(batches, k):
+        for sets in unmet(wanted(batches), k):
             yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.array([packed(h) for _, h in sets], pa.binary())], names=["node", "hashes"])
 
-    return rows.select("text", "code").filter(wanted("code")).mapInArrow(made, "node long, hashes binary")
+    # One Python worker a task: a filter by a UDF before this would need a second, and both are kept for the next stages.
+    return rows.select("text", "code").mapInArrow(made, "node long, hashes binary")
 
 
 def streamed(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:

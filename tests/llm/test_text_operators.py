@@ -56,6 +56,20 @@ def brute_classes(rows):
     return sorted(((d, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None), links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
+def test_sets_of_takes_one_python_worker_a_task(spark):
+    texts = [f"text number {i} with a word of its own w{i}" for i in range(200)] + [None, "", "text number 7 with a word of its own w7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("code", F.xxhash64("text"))
+    codes = rows.filter(F.col("text").endswith("7")).select("code").distinct()
+    found = jaccard_join.sets_of(rows, codes, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?:EvalPython|InArrow|InPandas)\b", plan)) == 1
+
+    wanted = {jaccard_join.node_of(h): h for h in (jaccard_join.shingle_set(t, 5) for t in texts[7:200:10])}
+    got = {r.node: jaccard_join.unpacked(bytes(r.hashes)) for r in found.collect()}
+    assert wanted.keys() <= got.keys() and len(got) < 30
+    assert all((got[n] == h >> np.uint64(16) << np.uint64(16)).all() for n, h in wanted.items())
+
+
 def test_jaccard_classes_brute_force(spark):
     draw = random.Random(3)
     vocabulary = [f"W{i}" for i in range(400)]
